@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,39 +48,42 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"([^{SPACE}]+)"), F.lit(1))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def _text_udf(f):
+    """A string function over Arrow batches; null stays null."""
+    return F.pandas_udf(lambda s: s.map(f, na_action="ignore"), T.StringType(), F.PandasUDFType.SCALAR)
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+@cache
+def _form_udf(form: str):
+    return _text_udf(lambda x: unicodedata.normalize(form, x))
 
 
-@F.pandas_udf(T.StringType())
-def _nfd(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFD", x))
+@cache
+def _fold_udf():
+    return _text_udf(str.casefold)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkd(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
+FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 
 
-@F.pandas_udf(T.StringType())
-def _fold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else x.casefold())
-
-
-_FORMS = {"NFC": _nfc, "NFD": _nfd, "NFKC": _nfkc, "NFKD": _nfkd}
+def _only_non_ascii(c: Column) -> Column:
+    """Null where the text is pure ASCII, so that such rows send nothing to Python."""
+    return F.when(~c.rlike(ASCII_ONLY), c)
 
 
 def normal_form(c: Column, form: str = "NFKC") -> Column:
-    """Unicode normal form; Spark has no built-in, so Arrow batches go through unicodedata."""
-    return _FORMS[form](c)
+    """Unicode normal form; Spark has no built-in. ASCII text is its own and stays in the JVM."""
+    if form not in FORMS:
+        raise ValueError(f"form must be one of {FORMS}")
+    return F.coalesce(_form_udf(form)(_only_non_ascii(c)), c)
 
 
 def casefold(c: Column) -> Column:
-    """Full case folding."""
-    return _fold(c)
+    """Full case folding (sharp s, ligatures, final sigma); ASCII text is lower-cased in the JVM."""
+    return F.coalesce(_fold_udf()(_only_non_ascii(c)), F.lower(c))
+
+
+def lines(c: Column) -> Column:
+    """Lines at any line end, with no empty one after the last."""
+    parts = F.split(c, "\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]", -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
