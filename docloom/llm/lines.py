@@ -9,8 +9,9 @@ exactly by a 128-bit hash of the whole normalised line. No repeated line can be
 chunks lie in at least as many documents as it does.
 
 Defined results: null or blank lines never count; a document with null text or without a source is
-ignored, one with blank text counts as a document; copies of a document count once; an empty table
-gives no rows; lines of any length are read whole.
+ignored, one with blank text counts as a document; copies of a document count once (should its rows
+name several sources, each row's lines count in their own, and the share is that of the first by
+name); an empty table gives no rows; lines of any length are read whole.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ WINDOW = 16
 MASK = 0xFF000000
 _GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 _DIGITS = re.compile("[0-9]+")
-LINES = "doc long, source string, line_no int, h1 long, h2 long, chunks array<long>"
+LINES = "doc long, line_no int, h1 long, h2 long, chunks array<long>"
 
 
 def host(url: Column) -> Column:
@@ -68,7 +69,7 @@ def _sign_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest, small = xxhash.xxh3_128_intdigest, xxhash.xxh3_64_intdigest
     low = (1 << 64) - 1
     for batch in batches:
-        docs, sources, numbers, h1, h2, chunks = [], [], [], [], [], []
+        docs, numbers, h1, h2, chunks = [], [], [], [], []
         for doc, source, text in zip(*(c.to_pylist() for c in batch.columns)):
             salt = small(source.encode())
             lines = normalise(text)
@@ -81,7 +82,6 @@ def _sign_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if b:
                     d = digest(b, salt)
                     docs.append(doc)
-                    sources.append(source)
                     numbers.append(i)
                     h1.append(_signed(d >> 64))
                     h2.append(_signed(d & low))
@@ -93,8 +93,8 @@ def _sign_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         chunks.append(None)
                 at = end + 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), pa.array(sources, pa.string()), pa.array(numbers, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(chunks, pa.list_(pa.int64()))],
-            ["doc", "source", "line_no", "h1", "h2", "chunks"],
+            [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(chunks, pa.list_(pa.int64()))],
+            ["doc", "line_no", "h1", "h2", "chunks"],
         )
 
 
@@ -107,17 +107,22 @@ def repeated_lines(docs: DataFrame, min_docs: int = 4, min_share: float = 0.3, s
     """Places (doc, line_no) of lines that lie in ``min_docs`` documents and ``min_share`` of the source's."""
     staging = staging or Staging(docs.sparkSession, "lines")
     lines = staging.put(signed_lines(docs))
-    keys = F.when(F.col("chunks").isNull(), F.array("h1")).otherwise(F.col("chunks"))
-    pieces = lines.select("doc", F.explode(keys).alias("chunk"))
+    pieces = lines.select("doc", F.explode(F.coalesce("chunks", F.array("h1"))).alias("chunk"))
     often = pieces.groupBy("chunk").agg(F.countDistinct("doc").alias("n")).where(F.col("n") >= min_docs).select("chunk")
-    placed = lines.select("doc", "source", "line_no", "h1", "h2", F.size(keys).alias("parts"), F.explode(keys).alias("chunk"))
-    kept = salted_join(placed, often, ["chunk"], "left_semi")
-    candidates = kept.groupBy("doc", "source", "line_no", "h1", "h2", "parts").agg(F.count(F.lit(1)).alias("n")).where("n >= parts").select("doc", "source", "line_no", "h1", "h2")
-    candidates = staging.put(candidates)
-    sizes = docs.where("source is not null and text is not null").groupBy("source").agg(F.countDistinct("doc").alias("size"))
-    counted = candidates.groupBy("source", "h1", "h2").agg(F.countDistinct("doc").alias("n")).where(F.col("n") >= min_docs)
-    repeated = salted_join(counted, sizes, ["source"], "inner").where(F.col("n") >= min_share * F.col("size")).select("source", "h1", "h2")
-    return salted_join(candidates, repeated, ["source", "h1", "h2"], "left_semi").select("doc", "line_no").distinct()
+    # by its first chunk a line falls out or stays; only those that stay have their other chunks looked up
+    first = lines.select("doc", "line_no", "h1", "h2", F.coalesce(F.col("chunks")[0], F.col("h1")).alias("chunk"), F.when(F.size("chunks") > 1, F.slice("chunks", 2, F.size("chunks") - 1)).alias("rest"))
+    kept = salted_join(first, often, ["chunk"], "left_semi")
+    longer = kept.where("rest is not null").select("doc", "line_no", "h1", "h2", F.size("rest").alias("parts"), F.explode("rest").alias("chunk"))
+    longer = salted_join(longer, often, ["chunk"], "left_semi").groupBy("doc", "line_no", "h1", "h2", "parts").agg(F.count(F.lit(1)).alias("n")).where("n >= parts")
+    columns = ["doc", "line_no", "h1", "h2"]
+    candidates = staging.put(kept.where("rest is null").select(*columns).unionByName(longer.select(*columns)))
+    # the hashes hold the source too; any document of a line tells which it is
+    counted = candidates.groupBy("h1", "h2").agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("doc")).where(F.col("n") >= min_docs)
+    pages = docs.where("source is not null and text is not null").groupBy("doc", "source").agg(F.lit(1).alias("one"))
+    sizes = pages.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
+    counted = salted_join(counted, pages.groupBy("doc").agg(F.min("source").alias("source")), ["doc"], "inner")
+    repeated = salted_join(counted, sizes, ["source"], "inner").where(F.col("n") >= min_share * F.col("size")).select("h1", "h2")
+    return salted_join(candidates, repeated, ["h1", "h2"], "left_semi").select("doc", "line_no").distinct()
 
 
 def without_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
