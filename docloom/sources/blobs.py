@@ -58,7 +58,7 @@ class BlobStore:
         return df.where(F.col(key).isNotNull() & F.col(content).isNotNull()).select(key, content).mapInPandas(run, "key string, size long")
 
     def read(self, spark: SparkSession, pattern: str = "*") -> DataFrame:
-        """(key, content, size, modified) of every blob whose file name matches."""
+        """(key, content, size, modified) of every blob whose file name matches; Spark's binaryFile leaves out empty ones."""
         root = Path(self.folder).resolve().as_posix()
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
         return files.select(F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{root}/", "").alias("key"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
