@@ -29,4 +29,11 @@ def p8_draws(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_mix": p8_mix, "p8_draws": p8_draws}
-SQL = {}
+# none lies near its target, so characters, of which a token has about as many in every source, tell as well as tokens
+SQL = {
+    "p8_found": r"""
+with t as (select distinct source, target_share, max_repeats from mix_targets),
+d as (select lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) as source, coalesce(length(text), 0) as n from documents),
+s as (select source, sum(n) as n from d group by 1)
+select t.source from t left join s on s.source = lower(trim(t.source)) where coalesce(s.n, 0) * t.max_repeats < t.target_share * (select sum(n) from d)"""
+}
