@@ -29,6 +29,9 @@ from docloom.storage import Staging
 #: Blocks per source; a parameter of the method, not of the data.
 BLOCKS = 1024
 MAX_SOURCES = 4096
+#: Plans of the mix with more rows than this are joined by a shuffle instead of a broadcast.
+MAX_BROADCAST = 200_000
+SHARD_TOKENS = 1 << 28
 REPORT = "source string, target_share double, max_repeats int, documents long, available_tokens long, target_tokens double, repeats double, drawn_tokens long, actual_share double, mix_share double, reached boolean"
 
 
@@ -57,8 +60,11 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
 class Mix:
     """The plan of a mix: ``report`` (one row per target source) and ``draws`` (one row per copy)."""
 
-    def __init__(self, sized: DataFrame, targets: DataFrame, shards: int = 16, seed: int = 17, staging: Staging | None = None):
-        """``sized``: key long, source string, tokens long. ``targets``: source, target_share, max_repeats."""
+    def __init__(self, sized: DataFrame, targets: DataFrame, shards: int | None = None, seed: int = 17, staging: Staging | None = None):
+        """``sized``: key long, source string, tokens long. ``targets``: source, target_share, max_repeats.
+
+        ``shards`` defaults to one for each ``SHARD_TOKENS``, 16 at least, and 16 blocks a shard.
+        """
         self.spark = sized.sparkSession
         self.seed = seed
         staging = staging or Staging(self.spark, "mixing")
@@ -70,7 +76,7 @@ class Mix:
         self.targets = sorted(rows)
         self._plan(shards)
 
-    def _plan(self, shards: int) -> None:
+    def _plan(self, shards: int | None) -> None:
         total = self.sized.agg(F.sum("tokens")).first()[0] or 0
         names = [r["name"] for r in self.targets]
         sums: dict[str, np.ndarray] = {n: np.zeros((BLOCKS, 2), np.int64) for n in names}
@@ -91,6 +97,8 @@ class Mix:
             self.order[r["name"]] = (permuted, whole, part, more)
             quotas.append(BLOCKS * whole + part + (1 if rest > 0 else 0))
             self.rows.append((r, int(blocks[:, 1].sum()), have, target, reached, total))
+        if shards is None:
+            shards = max(16, min(total // SHARD_TOKENS, sum(quotas) // 16))
         per_shard = split_quotas(np.array(quotas, np.int64), shards, rng) if quotas and sum(quotas) else np.zeros((shards, len(quotas)), np.int64)
         places = []
         for s, r in enumerate(self.targets):
@@ -104,10 +112,11 @@ class Mix:
                 places.append((r["name"], b, p, int(shard_of[mixed[k]]), limit))
         schema = "source string, block int, repeat_no int, shard int, upto double"
         self.places = self.spark.createDataFrame(places, schema)
+        if len(places) <= MAX_BROADCAST:
+            self.places = F.broadcast(self.places)
 
     def draws(self) -> DataFrame:
         """key, source, tokens, repeat_no, shard, position: one row per drawn copy of a document."""
-        # block and repeat give at most sources * BLOCKS * repeats rows: fixed by parameters and targets
         drawn = self.sized.join(self.places, ["source", "block"])
         inside = Window.partitionBy("source", "block", "repeat_no").orderBy(F.xxhash64("key", F.lit(self.seed + 1)), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         part = drawn.where("upto is not null").withColumn("__sum", F.sum("tokens").over(inside)).where(F.col("__sum") - F.col("tokens") < F.col("upto")).drop("__sum")
@@ -115,7 +124,7 @@ class Mix:
         local = F.xxhash64("key", "repeat_no", F.lit(self.seed + 2))
         slot = Window.partitionBy("shard", "__bucket").orderBy(local, "key", "repeat_no")
         # a bucket of the local order bounds each sort; its offset comes from the bucket counts
-        both = both.withColumn("__bucket", F.pmod(F.shiftrightunsigned(local, 40), F.lit(64)).cast("int"))
+        both = both.withColumn("__bucket", F.pmod(F.shiftrightunsigned(local, 40), F.lit(256)).cast("int"))
         counts = both.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("n"))
         before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select("shard", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -146,8 +146,13 @@ class Neighbours:
         self.centroids: dict[str, np.ndarray] = {g: np.zeros((1, dim), np.float32) for g in cells}
         many = [g for g, n in cells.items() if n > 1]
         if many:
-            pick = Window.partitionBy("grp").orderBy(F.xxhash64("lead", F.lit(SEED)))
-            sample = self.leads.where(F.col("grp").isin(many)).withColumn("n", F.row_number().over(pick)).where(F.col("n") <= SAMPLE).select("grp", "vec")
+            # the smallest hashes of each group: what is far from them is left out before the shuffle,
+            # so that the one task of a group sorts about twice the sample at any size of the group
+            draw = F.pmod(F.xxhash64("lead", F.lit(SEED)), F.lit(1 << 30))
+            share = F.create_map(*[x for g in many for x in (F.lit(g), F.lit(min(1 << 30, int((1 << 30) * 2 * SAMPLE / sizes[g]))))])
+            pick = Window.partitionBy("grp").orderBy("draw", "lead")
+            near = self.leads.where(F.col("grp").isin(many)).withColumn("draw", draw).where(F.col("draw") <= share[F.col("grp")])
+            sample = near.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= SAMPLE).select("grp", "vec")
             rows = sample.groupBy("grp").applyInPandas(fit, "grp string, cell int, c binary").collect()
             for g in many:
                 own = sorted((r["cell"], r["c"]) for r in rows if r["grp"] == g)
