@@ -220,5 +220,26 @@ def rate_limit(df: DataFrame, key: str, at: str, tie: str, rate: float = 10.0, b
     return out.withColumn("admitted", F.col("wait_seconds") <= 0)
 
 
+LISTINGS = {
+    "jobs": ("created_at", "kind", "job_id"),
+    "leases": ("expires_at", "job_id"),
+    "runs": ("created_at", "run_id"),
+    "dead_letters": ("-created_at", "run_id"),
+    "metadata": ("namespace", "key"),
+}
+
+
+def listing(df: DataFrame, what: str, limit: int | None = None) -> DataFrame:
+    """Rows in the order in which tables of that kind are listed; dead letters newest first."""
+    order = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in LISTINGS[what]]
+    out = df.orderBy(*order)
+    return out if limit is None else out.limit(limit)
+
+
+def next_versions(df: DataFrame, name: str, version: str) -> DataFrame:
+    """The version that each name's next definition gets: one more than its highest, 1 for none."""
+    return df.where(F.col(name).isNotNull()).groupBy(name).agg((F.coalesce(F.max(version), F.lit(0)) + 1).alias("next_version"))
+
+
 def utc(year: int, month: int, day: int) -> datetime:
     return datetime(year, month, day, tzinfo=timezone.utc)

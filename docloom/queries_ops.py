@@ -12,6 +12,7 @@ from docloom.operators import ops as O
 from docloom.operators import vectors as V
 from docloom.operators import web as W
 from docloom.plans import conditions
+from docloom.sources import fetch
 from docloom.storage import table
 
 NOW = datetime(2025, 6, 1, tzinfo=timezone.utc)
@@ -109,6 +110,33 @@ def lease_acquire(spark, sf):
     return O.acquire(leases, wanted, F.lit(NOW)).groupBy("granted", "worker_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def lease_listing(spark, sf):
+    """The 50 leases that end first."""
+    leases = table(spark, sf, "worker_leases").select(uuid_text(uuid_hex(F.col("job_id"))).alias("job_id"), "worker_id", "expires_at").distinct()
+    return O.listing(leases, "leases", 50)
+
+
+def run_listing(spark, sf):
+    runs = O.last_by(table(spark, sf, "control_runs").withColumn("run_id", uuid_text(uuid_hex(F.col("run_id")))), ["run_id"], ["loaded_at"])
+    return O.listing(runs, "runs", 50).select("run_id", "pipeline_name", "created_at")
+
+
+def dead_letter_listing(spark, sf):
+    """Failed executions, newest first."""
+    rows = table(spark, sf, "execution_records").withColumn("run_id", uuid_text(uuid_hex(F.col("run_id")))).where(F.lower(F.trim("outcome")) == "failed").where("created_at is not null")
+    return O.listing(rows.select("run_id", "created_at").distinct(), "dead_letters", 50)
+
+
+def pipeline_versions(spark, sf):
+    return O.next_versions(table(spark, sf, "control_runs"), "pipeline_name", "pipeline_version")
+
+
+def fetch_pages(spark, sf):
+    """The urls of scraped documents, fetched from the table of requests."""
+    asked = table(spark, sf, "scraped_documents").select(fetch.complete_url(F.col("url")).alias("url")).where("url is not null")
+    return fetch.fetch_from_table(asked, table(spark, sf, "scrape_requests")).groupBy("status_code").agg(F.count(F.lit(1)).alias("n"), F.sum("content_length").alias("bytes"))
+
+
 def run_outcomes(spark, sf):
     jobs = _jobs(spark, sf).withColumn("run", uuid_hex(F.col("run_id"))).where("run is not null")
     return O.outcomes(jobs, "run")
@@ -187,7 +215,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scrape_pages, crawl_bfs, monitor_changes, archive_segments, archive_headers, provenance_envelopes, lineage_ancestors, condition_filter, queue_claim, queue_requeue, queue_submit, queue_finish, worker_heartbeats,
-        lease_acquire, run_outcomes, checkpoint_latest, metadata_latest, rate_limit, schedule_due, schedule_next_run, schedule_mark_run, schedule_dispatch,
+        lease_acquire, lease_listing, run_listing, dead_letter_listing, pipeline_versions, fetch_pages, run_outcomes, checkpoint_latest, metadata_latest, rate_limit, schedule_due, schedule_next_run, schedule_mark_run, schedule_dispatch,
     )
 }
 SQL = {
@@ -210,6 +238,15 @@ SQL = {
     "lease_acquire": f"""{_JOBS}, l as (select {_HEX.format('job_id')} as k, arg_max({{'w': worker_id, 'e': expires_at}}, loaded_at) as l from worker_leases group by 1),
       x as (select coalesce(j.k is not null and (l.l.w is null or l.l.e <= {NOW_SQL} or l.l.w = 'w-new'), false) as granted, l.l.w as old from l full join (select k from j where s = 'running') j on l.k = j.k)
       select granted, case when granted then 'w-new' else old end as worker_id, count(*) as n from x group by 1, 2""",
+    "lease_listing": f"""select concat_ws('-', substr(k, 1, 8), substr(k, 9, 4), substr(k, 13, 4), substr(k, 17, 4), substr(k, 21, 12)) as job_id, worker_id, expires_at from (select distinct {_HEX.format('job_id')} as k, worker_id, expires_at from worker_leases) order by expires_at nulls first, k limit 50""",
+    "run_listing": f"""with r as (select {_HEX.format('run_id')} as k, arg_max({{'p': pipeline_name, 'c': created_at}}, loaded_at) as r from control_runs group by 1)
+      select concat_ws('-', substr(k, 1, 8), substr(k, 9, 4), substr(k, 13, 4), substr(k, 17, 4), substr(k, 21, 12)) as run_id, r.p as pipeline_name, r.c as created_at from r order by r.c nulls first, k limit 50""",
+    "dead_letter_listing": f"""select concat_ws('-', substr(k, 1, 8), substr(k, 9, 4), substr(k, 13, 4), substr(k, 17, 4), substr(k, 21, 12)) as run_id, created_at from
+      (select distinct {_HEX.format('run_id')} as k, created_at from execution_records where lower(trim(outcome)) = 'failed' and created_at is not null) order by created_at desc, k limit 50""",
+    "pipeline_versions": "select pipeline_name, coalesce(max(pipeline_version), 0) + 1 as next_version from control_runs where pipeline_name is not null group by 1",
+    "fetch_pages": """with a as (select distinct case when regexp_full_match(url, '[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') then url || '/' else url end as url from scraped_documents where url is not null),
+      p as (select url, max(html) as html from scrape_requests where url is not null group by 1)
+      select case when html is null then 404 else 200 end as status_code, count(*) as n, cast(sum(strlen(html)) as bigint) as bytes from a left join p on a.url = p.url group by 1""",
     "run_outcomes": f"""{_JOBS} select r as run, case when coalesce(bool_or(s = 'failed'), false) and coalesce(bool_or(s = 'succeeded'), false) then 'partially_succeeded' when coalesce(bool_or(s = 'failed'), false) then 'failed'
       when coalesce(bool_or(s = 'cancelled'), false) then 'cancelled' else 'succeeded' end as outcome, count(*) as steps from j where r is not null group by 1""",
     "checkpoint_latest": f"""select run_id, submitted_at, step_id from (select {_KEY.format('run_id')} as run_id, submitted_at, step_id, row_number() over (partition by {_KEY.format('run_id')} order by submitted_at desc, step_id desc) as r
