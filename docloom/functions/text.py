@@ -66,21 +66,20 @@ def _fold_udf():
 FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 
 
-def _only_non_ascii(c: Column) -> Column:
-    """Null where the text is pure ASCII, so that such rows send nothing to Python."""
-    return F.when(~c.rlike(ASCII_ONLY), c)
-
-
 def normal_form(c: Column, form: str = "NFKC") -> Column:
-    """Unicode normal form; Spark has no built-in. ASCII text is its own and stays in the JVM."""
+    """Unicode normal form, for which Spark has no built-in: Arrow batches.
+
+    Every row goes, not only non-ASCII ones: a choice by row would name its input three times, and
+    nested choices would compute a text's earlier steps over and over.
+    """
     if form not in FORMS:
         raise ValueError(f"form must be one of {FORMS}")
-    return F.coalesce(_form_udf(form)(_only_non_ascii(c)), c)
+    return _form_udf(form)(c)
 
 
 def casefold(c: Column) -> Column:
-    """Full case folding (sharp s, ligatures, final sigma); ASCII text is lower-cased in the JVM."""
-    return F.coalesce(_fold_udf()(_only_non_ascii(c)), F.lower(c))
+    """Full case folding (sharp s, ligatures, final sigma)."""
+    return _fold_udf()(c)
 
 
 def lines(c: Column) -> Column:

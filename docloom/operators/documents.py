@@ -135,9 +135,8 @@ def _repr(s: pd.Series) -> pd.Series:
 
 
 def quoted(c: Column) -> Column:
-    """A Python string literal; plain texts are quoted in the JVM."""
-    plain = c.rlike(r"^[\x20-\x26\x28-\x5B\x5D-\x7E]*$")
-    return F.coalesce(F.when(plain, F.concat(F.lit("'"), c, F.lit("'"))), _repr(F.when(~plain, c)))
+    """A Python string literal."""
+    return _repr(c)
 
 
 def fingerprint(c: Column, s: DedupSettings = DedupSettings()) -> Column:

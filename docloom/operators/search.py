@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,11 +42,12 @@ def search(df: DataFrame, query: str, limit: int = 10) -> DataFrame:
     A token that the query repeats scores again.
     """
     tokens = query_tokens(query)
-    own = document_tokens(df)
-    score = F.lit(0)
-    for t in tokens:
-        score = score + F.array_contains(F.col("__own"), t).cast("int")
-    hits = df.withColumn("__own", own).withColumn("score", score.cast("double")).where(F.col("score") > 0).drop("__own")
+    weights = Counter(tokens)
+    asked = F.array(*[F.lit(t) for t in weights]).cast("array<string>")
+    weight = F.create_map(*[x for t, n in weights.items() for x in (F.lit(t), F.lit(float(n)))]) if weights else F.create_map().cast("map<string,double>")
+    # the document's tokens are named once, so they are read once
+    score = F.aggregate(F.array_intersect(document_tokens(df), asked), F.lit(0.0), lambda s, t: s + weight[t])
+    hits = df.withColumn("score", score).where(F.col("score") > 0)
     top = hits.orderBy(F.desc("score"), "document_id").limit(limit)
     return top.withColumn("snippet", snippet(F.coalesce(F.col("text"), F.lit("")), tokens))
 
