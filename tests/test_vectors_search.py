@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docloom.operators import search as S
 from docloom.operators import vectors as V
 from docloom.operators.documents import Rule
-from docloom.plans.knowledge import knowledge
+from docloom.plans.knowledge import knowledge, knowledge_run
 
 RECORD = "record_id string, namespace string, vector array<double>, document_id string, chunk_id string, text string, metadata map<string,string>, at int"
 
@@ -62,6 +62,25 @@ def test_flagship_case(spark):
     assert [(r.document_id, r.score) for r in hits] == [("doc-2", 0.485363), ("doc-1", 0.196116)]
 
 
+def test_flagship_runs_all_stages(spark):
+    long = " ".join(f"word{i} Engine" for i in range(100))
+    rows = [("a", 1, "Old  engine text here.", {"source": "x"}), ("a", 2, "New engine text here.", {"source": "x"}), ("b", 3, long, {"source": "y"}), ("c", 4, long, {"source": "y"}), ("d", 5, "No source at all.", {}), ("e", 6, None, {"source": "z"})]
+    docs = spark.createDataFrame(rows, "document_id string, seq long, text string, metadata map<string,string>")
+    run = knowledge_run(docs, "engine text", [Rule("basic", required_metadata_keys=("source",), min_unique_words=3)], 9, order="seq")
+    out = {k: v.collect() for k, v in run.results.items()}
+    stages = ["normalize", "enrich", "dedup", "compliance", "chunk", "provenance", "embed", "upsert", "retrieve"]
+    assert [s for s in run.plan.order if s in stages] == stages and set(run.states.values()) == {"succeeded"}
+    assert {"enrich", "provenance"} == set(run.checkpoints)
+    assert {r.document_id: r.keywords for r in out["enrich"]}["a"]
+    assert len(out["provenance"]) == len(out["chunk"]) == 4
+    assert len({r.resource_id for r in out["provenance"]}) == 4
+    assert all(len(r.fingerprint) == 64 and r.parents == [r.document_id] and r.metadata["source"] in "xy" for r in out["provenance"])
+    # records of one id are collapsed, the last stays
+    assert sorted(r.record_id for r in out["upsert"]) == ["a:0", "b:0", "b:1"]
+    assert {r.record_id: r.text for r in out["retrieve"]}["a:0"] == "new engine text here."
+    assert len(out["retrieve"]) == 3
+
+
 def test_search(spark):
     rows = [("doc-1", "hello world", "Hello", None), ("doc-2", "nothing", None, "http://hello.example"), ("doc-3", None, None, None), ("doc-4", "x" * 200, None, None)]
     df = spark.createDataFrame(rows, "document_id string, text string, title string, url string")
