@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import csv
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -235,17 +236,28 @@ def trees() -> tuple[Tree, Tree]:
     return Tree(a[:, 1:], a[:, 0]), Tree(b[:, 1:], b[:, 0])
 
 
-def align(lines: list[str], texts: list[str], reach: int = 40) -> list[int]:
-    """For each line the block it came from, in order; -1 if there is none."""
+def align(lines: list[str], texts: list[str]) -> list[int]:
+    """For each line the block it came from, in order; -1 if there is none.
+
+    A longest common subsequence over the whole page, so neither left-out blocks nor a line that
+    turns up again far below cost other lines their blocks.
+    """
     places: dict[str, list[int]] = {}
     for i, t in enumerate(texts):
         places.setdefault(t, []).append(i)
-    out, at = [], 0
-    for x in lines:
-        k = next((i for i in places.get(x, ()) if at <= i < at + reach), -1)
-        out.append(k)
-        if k >= 0:
-            at = k + 1
+    ends: list[int] = []  # the least block at which a chain of each length ends
+    last: list[tuple] = []  # that chain: (line, block, the chain before)
+    for j, x in enumerate(lines):
+        for i in reversed(places.get(x, ())):
+            n = bisect_left(ends, i)
+            link = (j, i, last[n - 1] if n else None)
+            ends[n : n + 1] = [i]
+            last[n : n + 1] = [link]
+    out = [-1] * len(lines)
+    link = last[-1] if last else None
+    while link:
+        out[link[0]] = link[1]
+        link = link[2]
     return out
 
 

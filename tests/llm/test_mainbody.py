@@ -53,6 +53,14 @@ def test_align_is_in_order_and_knows_repeats():
     assert M.align(["a"], []) == [-1]
 
 
+def test_align_passes_many_left_out_blocks():
+    menu = [f"m{i}" for i in range(100)]
+    assert M.align(["a", "b", "c"], ["a", *menu, "b", "c"]) == [0, 101, 102]
+    # a line whose own block is lost and that turns up again below takes no other line's block
+    assert M.align(["home", "b", "c"], ["a", "b", "c", "home"]) == [-1, 1, 2]
+    assert M.align(["a", "b"], ["a", "b", "a", "b"]) == [0, 1]
+
+
 def test_tree_learns_and_is_bounded():
     rng = np.random.default_rng(0)
     x = rng.random((600, 4))
