@@ -21,9 +21,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The 10 most similar of every record whose number is divisible by 20, over all codes."""
-    vectors = _vectors(spark, sf)
-    search = Neighbours(vectors, DIM, K, scan=True, bound=1.2)
+    """The 10 most similar of every record whose number is divisible by 20, searched in the index of all."""
+    search = Neighbours(_vectors(spark, sf), DIM, K)
     asked = search.records.where(F.regexp_extract("id", "([0-9]+)$", 1).try_cast("bigint") % 20 == 0).select("grp", "id")
     return search.pairs(asked).select(F.col("grp").alias("namespace"), F.col("id").alias("record_id"), "rank", F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
 
