@@ -61,11 +61,37 @@ def test_very_long_repeated_lines(spark):
     assert found(spark, [(i, "s", f"{long}\n{'z' * (i + 1)}", "", 0) for i in range(4)]) == {(i, 0) for i in range(4)}
 
 
-def test_cut_points_depend_on_the_line_alone():
-    data = " ".join(str(i * i) for i in range(900)).encode()
-    a, b = L.cuts(data), L.cuts(b"other words\n" + data)
-    assert len(a)
-    assert [x + 12 for x in a if x >= L.WINDOW] == [x for x in b if x >= 12 + L.WINDOW]
+def test_chunks_depend_on_the_line_alone():
+    lines = [" ".join(str(i * i) for i in range(n)).encode() for n in (1, 2, 5, 30, 900)]
+
+    def chunks(data):
+        sizes = L.np.array([len(x) for x in data])
+        starts = L.np.cumsum(sizes + 1) - sizes - 1
+        stream = b"\n".join(data)
+        return [stream[a:z] if a >= 0 else None for a, z in zip(*L.line_chunks(stream, starts, starts + sizes))]
+
+    alone = [chunks([x])[0] for x in lines]
+    assert alone[-1] and alone[-2] and alone[0] is None
+    assert chunks([b"other words", *lines, b"more"])[1:-1] == alone
+    assert chunks(lines[::-1]) == alone[::-1]
+    assert all(c in x for c, x in zip(alone, lines) if c)
+
+
+def test_most_repeated_lines_come_by_hash_cuts(spark):
+    words = "privacy terms of use all rights reserved share this page with friends sign up for our letter about cookies".split()
+    frame = [" ".join(random.Random(i).sample(words, 4 + i % 9)) for i in range(40)]
+    rows = [(i, "s", "\n".join([*random.Random(i).sample(frame, 20), chr(97 + i % 26) * i]), "", 0) for i in range(60)]
+    places = L.repeated_places(spark.createDataFrame(rows, KIND)).collect()
+    assert {(r.doc, r.line_no) for r in places} == brute(rows, 4, 0.3)
+    text = {r[0]: L.normalise(r[2]) for r in rows if r[2] is not None}
+    long = [r for r in places if len(text[r.doc][r.line_no]) >= 20]
+    assert long and sum(r.cut for r in long) / len(long) > 0.9
+
+
+def test_a_page_that_names_two_sites(spark):
+    rows = [(i, "a", "same\nown" + "x" * i, "", 0) for i in range(4)] + [(0, "b", "same", "", 0)] + [(i, "b", "same" if i < 53 else "y" * i, "", 0) for i in range(50, 70)]
+    want = brute(rows, 4, 0.3)
+    assert found(spark, rows) == want and (0, 0) in want and (50, 0) not in want
 
 
 def test_hosts(spark):
