@@ -2,14 +2,16 @@
 
 1. Pairs become distinct undirected edges (the smaller id first).
 2. The component of the vertex of highest degree, usually the giant one, is peeled off by frontier
-   breadth-first joins and anti-joined away. Should its far ends be long chains, the walk stops
-   after ``peel_rounds`` and the peeled part goes on as one vertex, so nothing is lost.
+   breadth-first joins; every round takes the frontier's edges out of the rest. Should its far ends
+   be long chains, the walk stops after ``peel_rounds`` and the peeled part goes on as one vertex,
+   so nothing is lost.
 3. The remaining components are labelled by minimum propagation over the edges in alternating
    large-star and small-star rounds (Kiveris et al. 2014): plain propagation needs as many rounds
    as a chain is long, this needs about the logarithm, and every round keeps the components.
 
 Each round is a table in the shared folder; nothing of the graph reaches the driver but counts and
-the id of the peeled vertex. Joins on vertices are salted for hot ones.
+the id of the peeled vertex, and no join is broadcast. Hot vertices are combined before the shuffle
+and their joins split by the adaptive skew join.
 
 Defined results: a pair with a null or empty side or twice the same id links nothing; repeated
 pairs count once; an empty table gives no groups; the group id is the smallest id of the group.
@@ -17,11 +19,12 @@ pairs count once; an empty table gives no groups; the group id is the smallest i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docloom.functions.text import SPACE_CHARS
-from docloom.operators.skew import salted_join
 from docloom.storage import Staging
 
 
@@ -39,25 +42,29 @@ def _both_ways(e: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    """Every larger neighbour of u points to the smallest of u and its neighbours."""
-    both = _both_ways(e)
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    moved = salted_join(both.where("v > u"), least, ["u"], "inner")
-    return moved.select(F.col("m").alias("a"), F.col("v").alias("b"))
-
+def _pointed(rows: DataFrame, least: DataFrame, on: str) -> DataFrame:
+    """Joins each vertex's least neighbour to its rows.
 
-def _small_star(e: DataFrame) -> DataFrame:
-    """u and its smaller neighbours point to the smallest of them; edges are (smaller a, larger b)."""
-    least = e.groupBy("b").agg(F.min("a").alias("m"))
-    moved = salted_join(e, least, ["b"], "inner")
-    rest = moved.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return rest.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
+    Both sides are written tables, so a hot vertex is split by the adaptive skew join; the hint keeps
+    either side from being collected for a broadcast, however small the planner thinks it.
+    """
+    return rows.join(least.hint("merge"), on)
 
 
-def _mark(e: DataFrame) -> tuple:
-    r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _star_round(e: DataFrame, staging: Staging) -> tuple[DataFrame, tuple]:
+    """One large-star and one small-star step over edges (smaller a, larger b); the edges and their mark."""
+    both = _both_ways(e)
+    least = staging.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    # every larger neighbour of u points to the smallest of u and its neighbours
+    large = staging.put(_pointed(both.where("v > u"), least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")))
+    lower = staging.put(large.groupBy("b").agg(F.min("a").alias("m")))
+    # u and its smaller neighbours point to the smallest of them
+    moved = _pointed(large, lower, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    seen = Observation()
+    out = moved.unionByName(lower.select(F.col("m").alias("a"), "b")).distinct()
+    out = staging.put(out.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
+    staging.drop(least, large, lower)
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def connected_groups(e: DataFrame, peel_rounds: int = 6, max_rounds: int = 100, staging: Staging | None = None) -> DataFrame:
@@ -65,37 +72,35 @@ def connected_groups(e: DataFrame, peel_rounds: int = 6, max_rounds: int = 100,
     staging = staging or Staging(e.sparkSession, "groups")
     e = staging.put(e)
     degrees = _both_ways(e).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-    top = degrees.orderBy(F.desc("n"), "u").limit(1).collect()
-    if not top:
+    top = degrees.agg(F.max(F.struct("n", "u")).alias("t")).first()["t"]
+    if top is None:
         return e.select(F.col("a").alias("group_id"), F.col("b").alias("document_id"))
-    hub = top[0]["u"]
-    touching = e.where((F.col("a") == hub) | (F.col("b") == hub))
-    first = touching.select(F.when(F.col("a") == hub, F.col("b")).otherwise(F.col("a")).alias("u"))
-    frontier = staging.put(first)
-    peeled = staging.put(first.unionByName(e.sparkSession.createDataFrame([(hub,)], frontier.schema)))
-    rest = e.where((F.col("a") != hub) & (F.col("b") != hub))
-    for _ in range(peel_rounds):
-        out = salted_join(rest, frontier.select(F.col("u").alias("a")), ["a"], "left_semi").select(F.col("b").alias("u"))
-        back = salted_join(rest, frontier.select(F.col("u").alias("b")), ["b"], "left_semi").select(F.col("a").alias("u"))
-        fresh = staging.put(out.unionByName(back).distinct().join(peeled, "u", "left_anti"))
+    hub = top["u"]
+    inside = staging.put(e.sparkSession.createDataFrame([(hub,)], "u string"))
+    walked, rest = [inside], e
+    for step in range(peel_rounds + 1):
+        # edges at the frontier leave; their far ends are the next frontier, and no earlier one is among them
+        marked = rest.join(inside.hint("merge").select(F.col("u").alias("a"), F.lit(True).alias("ia")), "a", "left")
+        marked = staging.put(marked.join(inside.hint("merge").select(F.col("u").alias("b"), F.lit(True).alias("ib")), "b", "left"))
+        rest = marked.where("ia is null and ib is null").select("a", "b")
+        fresh = staging.put(marked.where("ia is null or ib is null").where("ia or ib").select(F.when(F.col("ia"), F.col("b")).otherwise(F.col("a")).alias("u")).distinct())
         if fresh.isEmpty():
             break
-        grown = staging.put(peeled.unionByName(fresh))
-        staging.drop(frontier, peeled)
-        frontier, peeled = fresh, grown
+        walked.append(fresh)
+        inside = fresh
+    peeled = reduce(DataFrame.unionByName, walked)
     least = peeled.agg(F.min("u").alias("m")).first()["m"]
-    inside = peeled.withColumn("inside", F.lit(True))
-    marked = salted_join(rest, inside.withColumnsRenamed({"u": "a", "inside": "ia"}), ["a"], "left")
-    marked = salted_join(marked, inside.withColumnsRenamed({"u": "b", "inside": "ib"}), ["b"], "left")
-    outside = marked.where("ia is null or ib is null").select(F.when(F.col("ia"), F.lit(least)).otherwise(F.col("a")).alias("x"), F.when(F.col("ib"), F.lit(least)).otherwise(F.col("b")).alias("y"))
-    now = staging.put(edges(outside, F.col("x"), F.col("y")))
-    before = _mark(now)
+    if step == peel_rounds:  # the walk stopped before its end: what it reached goes on as one vertex
+        rest = rest.join(inside.hint("merge").select(F.col("u").alias("a"), F.lit(True).alias("ia")), "a", "left")
+        rest = rest.join(inside.hint("merge").select(F.col("u").alias("b"), F.lit(True).alias("ib")), "b", "left")
+        rest = edges(rest, F.when(F.col("ia"), F.lit(least)).otherwise(F.col("a")), F.when(F.col("ib"), F.lit(least)).otherwise(F.col("b")))
+    now, before = staging.put(rest), None
     for _ in range(max_rounds):
-        if not before[0]:
+        if now.isEmpty():
             break
-        after = staging.put(_small_star(_large_star(now)))
+        after, mark = _star_round(now, staging)
         staging.drop(now)
-        now, mark = after, _mark(after)
+        now = after
         if mark == before:
             break
         before = mark
