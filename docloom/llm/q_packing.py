@@ -15,7 +15,9 @@ def _packed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _packed(spark, sf).where("piece_no = 1").selectExpr("key as doc_id")
+    """Texts that lie in more than one container: nothing else is split."""
+    boxes = _packed(spark, sf).groupBy("key").agg(F.count_distinct("container").alias("n"))
+    return boxes.where("n > 1").selectExpr("key as doc_id")
 
 
 def p7_pack(spark: SparkSession, sf: str) -> DataFrame:

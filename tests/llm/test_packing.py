@@ -7,7 +7,7 @@ from docloom.llm import packing as P
 from docloom.llm.tokens import VOCABULARY, encoding, with_tokens
 
 
-@given(st.lists(st.integers(1, 100), max_size=120), st.sampled_from(["norm", "dot"]), st.integers(1, 9), st.sampled_from([10_000, 12_000]))
+@given(st.lists(st.integers(1, 100), max_size=120), st.sampled_from(["norm", "dot"]), st.integers(1, 9), st.sampled_from([3_000, 5_000, 10_000, 12_000]))
 @settings(max_examples=150, deadline=None)
 def test_every_constraint_holds(sizes, rule, most, cost):
     sizes = np.array(sorted(sizes, reverse=True), np.int64)
@@ -16,11 +16,22 @@ def test_every_constraint_holds(sizes, rule, most, cost):
         own = sizes[box == b]
         assert own.sum() <= 100
         assert len(own) <= most
-        assert (own * own).sum() <= cost
-    if len(sizes) and most == 9:
+        assert (own * own).sum() <= cost or len(own) == 1
+    if len(sizes) and most == 9 and cost >= 10_000:
         assert len(set(box.tolist())) <= 2 * max(1, sizes.sum() / 100) + len(sizes) / most + 1
 
 
+def test_attention_cost_binds():
+    sizes = np.array([90] * 3 + [60] * 4 + [10] * 60, np.int64)
+    free = P.best_fit(sizes, 100, 50, 10_000)
+    tight = P.best_fit(sizes, 100, 50, 3_700)
+    costs = lambda box: [(sizes[box == b] ** 2).sum() for b in range(box.max() + 1)]
+    assert max(costs(free)) > 8_100 and free.max() < tight.max()
+    assert sorted(costs(tight))[-4] <= 3_700  # all but the three of 90, which stand alone
+    assert [(tight == b).sum() for b in tight[:3]] == [1, 1, 1]
+    assert all((sizes[tight == b] == 60).sum() <= 1 for b in range(tight.max() + 1))
+
+
 def table(spark, rows):
     return spark.createDataFrame([(*r, 3) for r in rows], "key long, tokens long, position int").select("key", "tokens")
 
@@ -47,10 +58,22 @@ def test_every_item_comes_out_once(spark):
     assert all(r.container is None and r.position is None for r in out if r.tokens == 0)
 
 
+def test_many_short_items_are_bounded_by_number(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_ROWS", 500)
+    rows = [(i, 1 + i % 3) for i in range(4000)]
+    out = P.pack(table(spark, rows), capacity=1000, max_items=16, max_cost=40).collect()
+    assert {r.key: r.tokens for r in out} == dict(rows)
+    assert len({r.container.split("-")[0] for r in out}) >= 8
+    per = {}
+    for r in out:
+        per.setdefault(r.container, []).append(r.tokens)
+    assert all(len(v) <= 16 and sum(x * x for x in v) <= 40 for v in per.values())
+
+
 def test_empty_and_arguments(spark):
     assert P.pack(table(spark, [])).count() == 0
     assert P.pack(table(spark, [(1, 0)])).count() == 1
-    for bad in ({"rule": "x"}, {"max_cost": 5}, {"max_items": 0}):
+    for bad in ({"rule": "x"}, {"max_cost": 0}, {"max_items": 0}):
         with pytest.raises(ValueError):
             P.pack(table(spark, []), **bad)
 
