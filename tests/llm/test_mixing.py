@@ -59,6 +59,25 @@ def test_one_document_and_nothing(spark):
     assert n.draws().count() == 0
 
 
+def test_very_many_sources_and_repeats(spark, monkeypatch):
+    monkeypatch.setattr("docloom.llm.mixing.MAX_SUMS", 20_000)
+    docs = [(i, f"s{i % 5000}", 10) for i in range(10_000)]
+    m = mix(spark, docs, [(f"s{i}", 1 / 5000, 3) for i in range(5000)] + [("S7", 0.05, 300)])
+    assert m.blocks == 3
+    rows = m.report().collect()
+    assert len(rows) == 5000 and all(r.reached for r in rows)
+    assert {r.repeats for r in rows if r.max_repeats == 300} == {250.0}
+
+
+@pytest.mark.parametrize("upto", [0.5, 7.0, 7.5, 3500.0, 6999.5, 7000.0])
+def test_the_last_block_is_cut_where_the_target_is_reached(spark, monkeypatch, upto):
+    monkeypatch.setattr("docloom.llm.mixing.BLOCKS", 1)
+    monkeypatch.setattr("docloom.llm.mixing.BUCKETS", 16)
+    docs = [(i, "a", 7) for i in range(1000)]
+    r = mix(spark, docs, [("a", upto / 7000, 1)]).report().first()
+    assert upto <= r.drawn_tokens + 1e-6 < upto + 7 + 1e-6
+
+
 @pytest.mark.parametrize("share", [0.2, 0.9999, 1.0])
 def test_a_whole_number_of_passes(spark, share):
     docs = [(i, "a", 7) for i in range(BLOCKS // 2)]
