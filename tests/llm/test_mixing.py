@@ -63,7 +63,7 @@ def test_very_many_sources_and_repeats(spark, monkeypatch):
     monkeypatch.setattr("docloom.llm.mixing.MAX_SUMS", 20_000)
     docs = [(i, f"s{i % 5000}", 10) for i in range(10_000)]
     m = mix(spark, docs, [(f"s{i}", 1 / 5000, 3) for i in range(5000)] + [("S7", 0.05, 300)])
-    assert m.blocks == 3
+    assert m.blocks == 4
     rows = m.report().collect()
     assert len(rows) == 5000 and all(r.reached for r in rows)
     assert {r.repeats for r in rows if r.max_repeats == 300} == {250.0}
