@@ -41,6 +41,17 @@ def test_null_masks(spark, match, want):
     assert run(spark, refs, [("1", "2", T1), ("3", "4", T1)], match=match, width=2) == want
 
 
+def test_one_good_target_is_enough_for_a_partial_match(spark):
+    refs = [("a", "1", None, T2, 0, ""), ("b", "3", None, T2, 0, ""), ("c", "4", None, T2, 0, ""), ("d", "5", "5", T2, 0, "")]
+    targets = [("1", "2", T1), ("1", "3", T3), ("3", "4", T3), ("4", "4", T1), ("5", "5", T1)]
+    assert run(spark, refs, targets, [("4", "4"), ("1", "3")], "partial", 2) == {("b", "late"), ("c", "deleted")}
+
+
+def test_rows_without_a_key_are_told_apart_by_their_references(spark):
+    refs = [(None, "x", T1, 0, ""), (None, "x", T3, 0, ""), (None, "y", T3, 0, ""), (None, None, T1, 0, "")]
+    assert run(spark, refs, [("x", T2), ("y", T2)]) == {(None, "late")}
+
+
 def test_wrong_arguments(spark):
     df = spark.createDataFrame([], "__key string")
     with pytest.raises(ValueError):
