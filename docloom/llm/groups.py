@@ -1,6 +1,6 @@
 """Consolidating pairwise matches into groups (connected components).
 
-1. Pairs become distinct undirected edges (the smaller id first).
+1. Pairs become distinct undirected edges (the smaller id first) between numbers in the ids' order.
 2. The component of the vertex of highest degree, usually the giant one, is peeled off by frontier
    breadth-first joins; every round takes the frontier's edges out of the rest. Should its far ends
    be long chains, the walk stops after ``peel_rounds`` and the peeled part goes on as one vertex,
@@ -34,7 +34,11 @@ def clean_id(c: Column) -> Column:
 
 def edges(pairs: DataFrame, left: Column, right: Column) -> DataFrame:
     """Distinct edges (a, b), a < b."""
-    p = pairs.select(left.alias("x"), right.alias("y")).where("x is not null and y is not null and x <> '' and y <> '' and x <> y")
+    return _ordered(pairs.where((left != "") & (right != "")), left, right)
+
+
+def _ordered(pairs: DataFrame, left: Column, right: Column) -> DataFrame:
+    p = pairs.select(left.alias("x"), right.alias("y")).where("x <> y")
     return p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -67,16 +71,35 @@ def _star_round(e: DataFrame, staging: Staging) -> tuple[DataFrame, tuple]:
     return out, (seen.get["n"], seen.get["h"])
 
 
+def _numbered(e: DataFrame, staging: Staging) -> tuple[DataFrame, DataFrame]:
+    """A table (id, num, n) of the vertices with their degrees, and the edges in numbers.
+
+    The numbers follow the order of the ids (they are given along a range-partitioned sort), so the
+    smallest number of a group is that of its smallest id, and every round works on longs.
+    """
+    degrees = _both_ways(e).groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    names = staging.put(degrees.orderBy("id").select("id", "n", F.monotonically_increasing_id().alias("num")))
+    side = lambda c: names.hint("merge").select(F.col("id").alias(c), F.col("num").alias(f"n{c}"))
+    numbers = e.join(side("a"), "a").join(side("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    return names, staging.put(numbers)
+
+
 def connected_groups(e: DataFrame, peel_rounds: int = 6, max_rounds: int = 100, staging: Staging | None = None) -> DataFrame:
     """(group_id, document_id) for every vertex of the edges (a, b)."""
     staging = staging or Staging(e.sparkSession, "groups")
-    e = staging.put(e)
-    degrees = _both_ways(e).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-    top = degrees.agg(F.max(F.struct("n", "u")).alias("t")).first()["t"]
+    names, e = _numbered(staging.put(e), staging)
+    top = names.agg(F.max(F.struct("n", "num")).alias("t")).first()["t"]
     if top is None:
-        return e.select(F.col("a").alias("group_id"), F.col("b").alias("document_id"))
-    hub = top["u"]
-    inside = staging.put(e.sparkSession.createDataFrame([(hub,)], "u string"))
+        return names.select(F.col("id").alias("group_id"), F.col("id").alias("document_id"))
+    labels = staging.put(_labelled(e, top["num"], peel_rounds, max_rounds, staging))
+    side = lambda c: names.hint("merge").select(F.col("num").alias(c), F.col("id").alias(f"{c}_id"))
+    named = labels.join(side("g"), "g").join(side("v"), "v")
+    return named.select(F.col("g_id").alias("group_id"), F.col("v_id").alias("document_id"))
+
+
+def _labelled(e: DataFrame, hub: int, peel_rounds: int, max_rounds: int, staging: Staging) -> DataFrame:
+    """(g, v): the smallest number of each vertex's component."""
+    inside = staging.put(e.sparkSession.createDataFrame([(hub,)], "u long"))
     walked, rest = [inside], e
     for step in range(peel_rounds + 1):
         # edges at the frontier leave; their far ends are the next frontier, and no earlier one is among them
@@ -93,7 +116,7 @@ def connected_groups(e: DataFrame, peel_rounds: int = 6, max_rounds: int = 100,
     if step == peel_rounds:  # the walk stopped before its end: what it reached goes on as one vertex
         rest = rest.join(inside.hint("merge").select(F.col("u").alias("a"), F.lit(True).alias("ia")), "a", "left")
         rest = rest.join(inside.hint("merge").select(F.col("u").alias("b"), F.lit(True).alias("ib")), "b", "left")
-        rest = edges(rest, F.when(F.col("ia"), F.lit(least)).otherwise(F.col("a")), F.when(F.col("ib"), F.lit(least)).otherwise(F.col("b")))
+        rest = _ordered(rest, F.when(F.col("ia"), F.lit(least)).otherwise(F.col("a")), F.when(F.col("ib"), F.lit(least)).otherwise(F.col("b")))
     now, before = staging.put(rest), None
     for _ in range(max_rounds):
         if now.isEmpty():
@@ -108,8 +131,8 @@ def connected_groups(e: DataFrame, peel_rounds: int = 6, max_rounds: int = 100,
         raise RuntimeError("the groups did not settle")
     label = now.where(F.col("b") == least).select("a").first()
     label = label["a"] if label else least
-    stars = now.select(F.col("a").alias("group_id"), F.col("b").alias("document_id"))
-    centres = now.select(F.col("a").alias("group_id"), F.col("a").alias("document_id")).distinct()
-    giant = peeled.select(F.lit(label).alias("group_id"), F.col("u").alias("document_id"))
-    # the peeled part's own least id went on as a vertex; it must not come out twice
-    return stars.unionByName(centres).where(F.col("document_id") != least).unionByName(giant)
+    stars = now.select(F.col("a").alias("g"), F.col("b").alias("v"))
+    centres = now.select(F.col("a").alias("g"), F.col("a").alias("v")).distinct()
+    giant = peeled.select(F.lit(label).alias("g"), F.col("u").alias("v"))
+    # the peeled part's own least vertex went on; it must not come out twice
+    return stars.unionByName(centres).where(F.col("v") != least).unionByName(giant)

@@ -309,16 +309,23 @@ class Neighbours:
             num, cell = rows.column("num").to_numpy()[who], cents.column("child").to_numpy()[child]
             return pa.table(table(num, rows.column("grp").take(pa.array(who)), cell, probes[who], unit[who], c[child]), schema=kinds)
 
+        def last(rows: pa.Table, cents: pa.Table) -> pa.Table:
+            return step(rows, cents).drop_columns(["probes", "unit"])
+
+        codes = ["num", "grp", "cell", "planes", *_FLOATS]
         beam = units.select("num", "grp", "unit").mapInArrow(start, schema)
         for depth, (sizes, centroids) in enumerate(self.levels):
             split = sizes.select("grp", "cell")
-            inner = _attach(beam, split, "left_semi").select("num", "grp", "cell", "probes", "unit")
-            beam = self._meet(inner, sizes, centroids, step, schema).unionByName(_attach(beam, split, "left_anti"))
+            inner, stay = _attach(beam, split, "left_semi").select("num", "grp", "cell", "probes", "unit"), _attach(beam, split, "left_anti")
+            if not depth and len(self.levels) == 1:  # nothing is below, so the vectors are left behind
+                beam = self._meet(inner, sizes, centroids, last, f"num long, grp string, cell long, {_ASK}").unionByName(stay.select(codes))
+                break
+            beam = self._meet(inner, sizes, centroids, step, schema).unionByName(stay)
             if depth:  # below the root the children of several nodes compete
                 best = Window.partitionBy("num").orderBy(F.desc("base"), "cell")
                 beam = beam.withColumn("at", F.row_number().over(best)).where(F.col("at") <= F.col("probes")).drop("at")
             beam = self.staging.put(beam)
-        return self.staging.put(beam.drop("unit", "probes")) if not self.levels else beam.drop("unit", "probes")
+        return self.staging.put(beam.select(codes))
 
     def _near(self, asked: DataFrame | None) -> DataFrame:
         """(grp, a, b, s): the neighbours of each representative among the representatives."""
