@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,8 @@ SPACE_CHARS = (
 )
 #: The same as a Java character class body.
 SPACE = r"\t\n\x0B\f\r\x1C-\x1F \x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: Unicode normal forms.
+FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 WORD = r"([A-Za-z0-9']+)"
 ASCII_ONLY = r"^[\x00-\x7F]*$"
 
@@ -48,9 +53,53 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"([^{SPACE}]+)"), F.lit(1))
 
 
+def once(f, kind: T.DataType):
+    """A function of one string over Arrow batches; null stays null.
+
+    Declared non-deterministic, which it is not, so that the planner neither copies it into the filters
+    it derives nor computes it again for every use of its result: a text crosses to Python once.
+    """
+    if isinstance(kind, T.StructType):
+        names = kind.names
+
+        def run(s: pd.Series) -> pd.DataFrame:
+            rows = [(None,) * len(names) if x is None else f(x) for x in s]
+            return pd.DataFrame(rows, columns=names, dtype=object)
+
+    else:
+
+        def run(s: pd.Series) -> pd.Series:
+            return s.map(f, na_action="ignore")
+
+    return F.pandas_udf(run, kind).asNondeterministic()
+
+
 def _text_udf(f):
-    """A string function over Arrow batches; null stays null."""
-    return F.pandas_udf(lambda s: s.map(f, na_action="ignore"), T.StringType(), F.PandasUDFType.SCALAR)
+    return once(f, T.StringType())
+
+
+_SPACES = re.compile(r"\s+")
+
+
+def cleaner(form: str, fold: bool, collapse: bool, strip: bool, fold_last: bool = False) -> Callable[[str], str]:
+    """Normal form, line ends, folding, blanks, edges, as one function of a string.
+
+    ``fold_last`` folds after the blanks have collapsed instead of before.
+    """
+    if form not in FORMS:
+        raise ValueError(f"form must be one of {FORMS}")
+
+    def clean(x: str) -> str:
+        x = unicodedata.normalize(form, x).replace("\r\n", "\n").replace("\r", "\n")
+        if fold and not fold_last:
+            x = x.casefold()
+        if collapse:
+            x = _SPACES.sub(" ", x)
+        if fold and fold_last:
+            x = x.casefold()
+        return x.strip() if strip else x
+
+    return clean
 
 
 @cache
@@ -63,9 +112,6 @@ def _fold_udf():
     return _text_udf(str.casefold)
 
 
-FORMS = ("NFC", "NFD", "NFKC", "NFKD")
-
-
 def normal_form(c: Column, form: str = "NFKC") -> Column:
     """Unicode normal form, for which Spark has no built-in: Arrow batches.
 

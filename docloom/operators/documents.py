@@ -7,8 +7,11 @@ part in grouping. Order-sensitive operators name their order column.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from difflib import SequenceMatcher, unified_diff
+from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +20,7 @@ from pyspark.sql import types as T
 
 from docloom.functions import text as X
 from docloom.operators.skew import salted_join
+from docloom.storage import Staging
 
 #: Words that are no keywords.
 STOPWORDS = tuple("a an and are as at be but by for from has have if in is it of on or that the this to was were will with".split())
@@ -31,13 +35,8 @@ class NormalizeSettings:
 
 
 def normalized(c: Column, s: NormalizeSettings = NormalizeSettings()) -> Column:
-    """Normal form, line ends, case folding, blanks, edges: in this order."""
-    out = X.newlines(X.normal_form(c, s.unicode_form))
-    if s.lowercase:
-        out = X.casefold(out)
-    if s.collapse_whitespace:
-        out = X.collapse(out)
-    return X.strip(out) if s.strip_edges else out
+    """Normal form, line ends, case folding, blanks, edges: in this order, in one pass through Python."""
+    return X.once(X.cleaner(s.unicode_form, s.lowercase, s.collapse_whitespace, s.strip_edges), T.StringType())(c)
 
 
 def normalize(df: DataFrame, settings: NormalizeSettings = NormalizeSettings()) -> DataFrame:
@@ -60,55 +59,47 @@ class EnrichSettings:
                 raise ValueError("an enrichment limit is out of its bounds")
 
 
-def _enriched(c: Column, s: EnrichSettings) -> Column:
-    out = X.newlines(X.normal_form(c, s.unicode_form))
-    if s.collapse_whitespace:
-        out = X.collapse(out)
-    return X.strip(out) if s.strip_edges else out
+_COUNTS = ("character_count", "line_count", "sentence_count", "word_count", "unique_word_count", "keyword_count", "url_count")
+_STRINGS_TYPE = T.ArrayType(T.StringType())
+_ENRICHED = T.StructType(
+    [T.StructField("enriched_text", T.StringType()), T.StructField("keywords", _STRINGS_TYPE), T.StructField("urls", _STRINGS_TYPE), T.StructField("summary", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in _COUNTS]]
+)
+_WORDS, _URLS, _ENDS = re.compile(r"[A-Za-z0-9']+"), re.compile(r"https?://\S+|www\.\S+"), re.compile(r"[.!?]+")
 
 
-_KEYWORDS = T.ArrayType(T.StringType())
-
-
-def _keyword_udf(limit: int, least: int, stop: frozenset[str], by_position: bool):
-    """Keywords of token arrays. Counting inside a row has no built-in; arrays go over in Arrow batches."""
-
-    def one(tokens) -> list[str] | None:
-        if tokens is None:
-            return None
-        seen: dict[str, int] = {}
-        for t in tokens:
-            seen[t] = seen.get(t, 0) + 1
-        pairs = [(n, t) for t, n in seen.items() if len(t) >= least and t not in stop]
-        if by_position:  # dictionaries keep first occurrences in order, and the sort is stable
-            return [t for _, t in sorted(pairs, key=lambda x: -x[0])[:limit]]
-        return [t for _, t in sorted(pairs, key=lambda x: (-x[0], x[1]))[:limit]]
-
-    return F.pandas_udf(lambda s: s.map(one), _KEYWORDS, F.PandasUDFType.SCALAR)
+def _top_words(tokens: list[str], limit: int, least: int, stop: frozenset[str], by_position: bool) -> list[str]:
+    """The most frequent tokens; equal counts by first place or by name."""
+    seen: dict[str, int] = {}
+    for t in tokens:
+        seen[t] = seen.get(t, 0) + 1
+    pairs = [(n, t) for t, n in seen.items() if len(t) >= least and t not in stop]
+    # dictionaries keep first occurrences in order, and the sort is stable
+    pairs.sort(key=(lambda x: -x[0]) if by_position else (lambda x: (-x[0], x[1])))
+    return [t for _, t in pairs[:limit]]
 
 
 def enrich(df: DataFrame, settings: EnrichSettings = EnrichSettings()) -> DataFrame:
-    """Adds enriched_text, summary, keywords, urls, statistics and fingerprint."""
+    """Adds enriched_text, summary, keywords, urls, statistics and fingerprint.
+
+    The text crosses to Python once; everything that is told from it comes back together.
+    """
     s = settings
-    out = df.withColumn("enriched_text", _enriched(F.col("text"), s))
-    out = out.withColumn("__tokens", F.transform(X.words(F.col("enriched_text")), F.lower))
-    out = out.withColumn("keywords", _keyword_udf(s.max_keywords, s.min_keyword_length, frozenset(s.stopwords), False)(F.col("__tokens")))
-    space = f"[{X.SPACE}]"
-    out = out.withColumn("urls", F.array_distinct(F.regexp_extract_all("text", F.lit(f"(https?://[^{X.SPACE}]+|www\\.[^{X.SPACE}]+)"), F.lit(1))))
-    words = F.filter(F.split("enriched_text", f"{space}+"), lambda t: t != "")
-    out = out.withColumn("summary", F.array_join(F.slice(words, 1, s.summary_word_limit), " "))
-    size = F.length("enriched_text")
-    stats = F.struct(
-        size.alias("character_count"),
-        (F.length(F.regexp_replace("enriched_text", "[^\n]", "")) + 1).alias("line_count"),
-        F.greatest(F.regexp_count("enriched_text", F.lit("[.!?]+")), F.when(size > 0, 1).otherwise(0)).alias("sentence_count"),
-        F.size("__tokens").alias("word_count"),
-        F.size(F.array_distinct("__tokens")).alias("unique_word_count"),
-        F.size("keywords").alias("keyword_count"),
-        F.size("urls").alias("url_count"),
-    )
+    clean, stop = X.cleaner(s.unicode_form, False, s.collapse_whitespace, s.strip_edges), frozenset(s.stopwords)
+
+    def one(raw: str) -> tuple:
+        text = clean(raw)
+        tokens = [t.lower() for t in _WORDS.findall(text)]
+        keywords = _top_words(tokens, s.max_keywords, s.min_keyword_length, stop, False)
+        urls = list(dict.fromkeys(_URLS.findall(raw)))
+        sentences = max(len(_ENDS.findall(text)), 1 if text else 0)
+        return text, keywords, urls, " ".join(text.split()[: s.summary_word_limit]), len(text), text.count("\n") + 1, sentences, len(tokens), len(set(tokens)), len(keywords), len(urls)
+
+    out = df.withColumn("__e", X.once(one, _ENRICHED)(F.col("text")))
+    for c in ("enriched_text", "keywords", "urls", "summary"):
+        out = out.withColumn(c, F.col("__e")[c])
+    stats = F.struct(*[F.col("__e")[c].alias(c) for c in _COUNTS])
     out = out.withColumn("statistics", F.when(F.col("text").isNotNull(), stats))
-    return out.withColumn("fingerprint", F.sha2("enriched_text", 256)).drop("__tokens")
+    return out.withColumn("fingerprint", F.sha2("enriched_text", 256)).drop("__e")
 
 
 @dataclass(frozen=True)
@@ -119,44 +110,44 @@ class DedupSettings:
     fingerprint_metadata_keys: tuple[str, ...] = ()
 
 
-def canonical(c: Column, s: DedupSettings = DedupSettings()) -> Column:
+def canonical(s: DedupSettings = DedupSettings()) -> Callable[[str], str]:
     """Like normalize, but blanks collapse before folding and the edges are always stripped."""
-    out = X.newlines(X.normal_form(c, s.unicode_form))
-    if s.collapse_whitespace:
-        out = X.collapse(out)
-    if s.casefold:
-        out = X.casefold(out)
-    return X.strip(out)
+    return X.cleaner(s.unicode_form, s.casefold, s.collapse_whitespace, True, fold_last=True)
 
 
-@F.pandas_udf(T.StringType())
-def _repr(s: pd.Series) -> pd.Series:
-    return s.map(repr, na_action="ignore")
+_CANONICAL = T.StructType([T.StructField("canonical", T.StringType()), T.StructField("literal", T.StringType())])
 
 
-def quoted(c: Column) -> Column:
-    """A Python string literal."""
-    return _repr(c)
+def with_fingerprint(df: DataFrame, s: DedupSettings = DedupSettings()) -> DataFrame:
+    """Adds __canonical and fingerprint, the SHA-256 of the literal {'text': canonical text, 'metadata': {selected keys present}}."""
+    clean = canonical(s)
+    if not s.fingerprint_metadata_keys:
 
+        def one(raw: str) -> tuple[str, str]:
+            text = clean(raw)
+            return text, sha256(f"{{'text': {text!r}, 'metadata': {{}}}}".encode()).hexdigest()
 
-def fingerprint(c: Column, s: DedupSettings = DedupSettings()) -> Column:
-    """SHA-256 of the literal {'text': canonical text, 'metadata': {selected keys present}}."""
+        out = df.withColumn("__c", X.once(one, _CANONICAL)(F.col("text")))
+        return out.withColumn("__canonical", F.col("__c.canonical")).withColumn("fingerprint", F.col("__c.literal")).drop("__c")
+    quoted = X.once(repr, T.StringType())
+    out = df.withColumn("__c", X.once(lambda raw: (t := clean(raw), repr(t)), _CANONICAL)(F.col("text")))
     pairs = [F.when(F.map_contains_key("metadata", k), F.concat(F.lit(repr(k) + ": "), F.coalesce(quoted(F.col("metadata")[k]), F.lit("None")))) for k in s.fingerprint_metadata_keys]
-    chosen = F.concat_ws(", ", *pairs) if pairs else F.lit("")
-    return F.sha2(F.concat(F.lit("{'text': "), quoted(c), F.lit(", 'metadata': {"), chosen, F.lit("}}")), 256)
+    literal = F.concat(F.lit("{'text': "), F.col("__c.literal"), F.lit(", 'metadata': {"), F.concat_ws(", ", *pairs), F.lit("}}"))
+    return out.withColumn("__canonical", F.col("__c.canonical")).withColumn("fingerprint", F.sha2(literal, 256)).drop("__c")
 
 
 class Deduplicated:
     """Exact duplicates: the first by ``order`` stays.
 
-    Groups are reduced to (fingerprint, first, count) before the shuffle and no text is shuffled, so
-    a group that holds a third of all rows costs no task more than its share.
+    The canonical rows are written once. Groups are reduced to (fingerprint, first, count) before the
+    shuffle and no text is shuffled for them, so a group that holds a third of all rows costs no task
+    more than its share.
     """
 
-    def __init__(self, df: DataFrame, order: str = "document_id", settings: DedupSettings = DedupSettings()):
-        rows = df.where(F.col("text").isNotNull() & F.col(order).isNotNull()).withColumn("__canonical", canonical(F.col("text"), settings))
+    def __init__(self, df: DataFrame, order: str = "document_id", settings: DedupSettings = DedupSettings(), staging: Staging | None = None):
+        staging = staging or Staging(df.sparkSession, "dedup")
         self.order = order
-        self.rows = rows.withColumn("fingerprint", fingerprint(F.col("__canonical"), settings))
+        self.rows = staging.put(with_fingerprint(df.where(F.col("text").isNotNull() & F.col(order).isNotNull()), settings).drop("text"))
         keys = self.rows.select("fingerprint", F.col(order).alias("__first"))
         self.groups = keys.groupBy("fingerprint").agg(F.min("__first").alias("__first"), F.count(F.lit(1)).alias("__n"))
 
@@ -164,7 +155,7 @@ class Deduplicated:
         """The documents kept, with canonical text, fingerprint and duplicate_count."""
         first = self.groups.select(F.col("__first").alias(self.order), F.col("fingerprint").alias("__fp"), (F.col("__n") - 1).alias("duplicate_count"))
         joined = self.rows.join(first, self.order).where("fingerprint = __fp")
-        return joined.drop("text", "__fp").withColumnRenamed("__canonical", "text")
+        return joined.drop("__fp").withColumnRenamed("__canonical", "text")
 
     def decisions(self) -> DataFrame:
         """(duplicate_document_id, canonical_document_id, fingerprint, reason) of the documents dropped."""
@@ -190,35 +181,40 @@ class Rule:
     case_sensitive: bool = False
 
 
-_STRINGS = "array<string>"
-
-
-def _finding(rule: Rule, folded: Column, words: Column, folded_words: Column) -> Column:
-    text, tokens = (F.col("text"), words) if rule.case_sensitive else (folded, folded_words)
-    terms = [t if rule.case_sensitive else t.casefold() for t in rule.forbidden_terms]
-    unique = F.size(F.array_distinct(tokens))
-    none = F.array().cast(_STRINGS)
-    missing = F.array(*[F.when(~F.map_contains_key(F.coalesce("metadata", F.create_map().cast("map<string,string>")), k), F.lit(k)) for k in rule.required_metadata_keys]) if rule.required_metadata_keys else none
-    hits = F.array(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in terms if t]) if any(terms) else none
-    missing, hits = (F.filter(a, lambda x: x.isNotNull()) for a in (missing, hits))
-
-    def found(passed: bool, message: str, details: Column) -> Column:
-        return F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(passed).alias("passed"), F.lit(rule.severity).alias("severity"), F.lit(message).alias("message"), details.alias("details"))
-
-    joined = lambda a: F.array_join(a, ",")
-    steps = []
-    if rule.max_characters is not None:
-        steps.append((F.length("text") > rule.max_characters, found(False, f"longer than {rule.max_characters} characters", F.create_map(F.lit("character_count"), F.length("text").cast("string"), F.lit("maximum"), F.lit(str(rule.max_characters))))))
-    if rule.min_unique_words is not None:
-        steps.append((unique < rule.min_unique_words, found(False, f"fewer than {rule.min_unique_words} unique words", F.create_map(F.lit("unique_words"), unique.cast("string"), F.lit("minimum"), F.lit(str(rule.min_unique_words))))))
-    if rule.required_metadata_keys:
-        steps.append((F.size(missing) > 0, found(False, "required metadata keys are missing", F.create_map(F.lit("missing_keys"), joined(missing)))))
-    if any(terms):
-        steps.append((F.size(hits) > 0, found(False, "forbidden terms occur", F.create_map(F.lit("forbidden_terms"), joined(hits)))))
-    out = found(True, "passed", F.create_map(F.lit("word_count"), F.size(tokens).cast("string"), F.lit("unique_words"), unique.cast("string")))
-    for test, result in reversed(steps):
-        out = F.when(test, result).otherwise(out)
-    return out
+_FINDINGS = T.ArrayType(T.StructType([T.StructField("rule_id", T.StringType()), T.StructField("passed", T.BooleanType()), T.StructField("severity", T.StringType()), T.StructField("message", T.StringType()), T.StructField("details", T.MapType(T.StringType(), T.StringType()))]))
+
+
+class _Facts:
+    """What rules ask of a text, each worked out once."""
+
+    def __init__(self, text: str, keys: set[str]):
+        self.text, self.folded, self.keys = text, text.casefold(), keys
+        self._words: dict[bool, list[str]] = {}
+
+    def words(self, exact: bool) -> list[str]:
+        if exact not in self._words:
+            self._words[exact] = _WORDS.findall(self.text if exact else self.folded)
+        return self._words[exact]
+
+
+def _finding(rule: Rule, facts: _Facts) -> tuple:
+    def failed(message: str, **details: object) -> tuple:
+        return rule.rule_id, False, rule.severity, message, {k: str(v) for k, v in details.items()}
+
+    words = facts.words(rule.case_sensitive)
+    unique = len(set(words))
+    if rule.max_characters is not None and len(facts.text) > rule.max_characters:
+        return failed(f"longer than {rule.max_characters} characters", character_count=len(facts.text), maximum=rule.max_characters)
+    if rule.min_unique_words is not None and unique < rule.min_unique_words:
+        return failed(f"fewer than {rule.min_unique_words} unique words", unique_words=unique, minimum=rule.min_unique_words)
+    missing = [k for k in rule.required_metadata_keys if k not in facts.keys]
+    if missing:
+        return failed("required metadata keys are missing", missing_keys=",".join(missing))
+    text = facts.text if rule.case_sensitive else facts.folded
+    hits = [t for t in (x if rule.case_sensitive else x.casefold() for x in rule.forbidden_terms) if t and t in text]
+    if hits:
+        return failed("forbidden terms occur", forbidden_terms=",".join(hits))
+    return rule.rule_id, True, rule.severity, "passed", {"word_count": str(len(words)), "unique_words": str(unique)}
 
 
 def default_rules(rules: list[Rule], settings: Rule) -> list[Rule]:
@@ -228,12 +224,22 @@ def default_rules(rules: list[Rule], settings: Rule) -> list[Rule]:
 
 
 def check(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds ``findings`` (one per rule, in order) and ``compliant``; rules are literals, nothing is joined."""
+    """Adds ``findings`` (one per rule, in order) and ``compliant``; rules are literals, nothing is joined.
+
+    Folding has no built-in, so the text crosses to Python; all rules are answered in that one pass.
+    """
     if not rules:
-        return df.withColumn("findings", F.array()).withColumn("compliant", F.lit(True))
-    out = df.withColumn("__folded", X.casefold(F.col("text"))).withColumn("__words", X.words(F.col("text"))).withColumn("__fwords", X.words(F.col("__folded")))
-    findings = F.array(*[_finding(r, F.col("__folded"), F.col("__words"), F.col("__fwords")) for r in rules])
-    out = out.withColumn("findings", F.when(F.col("text").isNotNull(), findings)).drop("__folded", "__words", "__fwords")
+        return df.withColumn("findings", F.array().cast(_FINDINGS)).withColumn("compliant", F.lit(True))
+
+    def run(texts: pd.Series, keys: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(texts, keys):
+            facts = None if text is None else _Facts(text, set() if own is None else set(own))
+            out.append(None if facts is None else [_finding(r, facts) for r in rules])
+        return pd.Series(out, dtype=object)
+
+    keys = F.map_keys("metadata") if any(r.required_metadata_keys for r in rules) else F.array().cast(_STRINGS_TYPE)
+    out = df.withColumn("findings", F.pandas_udf(run, _FINDINGS).asNondeterministic()(F.col("text"), keys))
     return out.withColumn("compliant", F.forall("findings", lambda f: f["passed"]))
 
 
@@ -257,10 +263,10 @@ def chunk(df: DataFrame, settings: ChunkSettings = ChunkSettings(), keep: tuple[
     """Overlapping windows of tokens, one row each: chunk_id, document_id, chunk_index, start_token, end_token, text."""
     size, step = settings.chunk_size, settings.chunk_size - settings.overlap
     kept = [c for c in keep if c in df.columns]
-    toks = df.select("document_id", *kept, X.tokens(F.col("text")).alias("__t")).where(F.size("__t") > 0)
+    toks = df.select("document_id", *kept, X.once(str.split, _STRINGS_TYPE)(F.col("text")).alias("__t"))
     n = F.size("__t")
     last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / F.lit(step)).cast("int"))
-    out = toks.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
+    out = toks.withColumn("chunk_index", F.explode(F.when(n > 0, F.sequence(F.lit(0), last))))
     start = F.col("chunk_index") * step
     out = out.select(
         F.concat_ws(":", "document_id", "chunk_index").alias("chunk_id"), "document_id", "chunk_index", start.alias("start_token"), F.least(start + size, n).alias("end_token"), F.array_join(F.slice("__t", start + 1, F.lit(size)), " ").alias("text"), *kept
@@ -272,45 +278,61 @@ def chunk(df: DataFrame, settings: ChunkSettings = ChunkSettings(), keep: tuple[
     return out
 
 
+_ANALYZED = T.StructType([T.StructField("keywords", _STRINGS_TYPE), T.StructField("token_count", T.IntegerType())])
+
+
 def analyze(df: DataFrame, keywords: int = 12, summary_chars: int = 240) -> DataFrame:
     """Adds language, keywords (by count, then first place), entities, summary and token_count."""
-    out = df.withColumn("__tokens", F.transform(X.words(F.col("text")), F.lower))
-    out = out.withColumn("keywords", _keyword_udf(keywords, 0, frozenset(), True)(F.col("__tokens")))
+
+    def one(text: str) -> tuple:
+        tokens = [t.lower() for t in _WORDS.findall(text)]
+        return _top_words(tokens, keywords, 0, frozenset(), True), len(tokens)
+
+    out = df.withColumn("__a", X.once(one, _ANALYZED)(F.col("text"))).withColumn("keywords", F.col("__a.keywords"))
     entities = F.array().cast("array<struct<text:string,label:string>>")
-    out = out.withColumn("language", F.lit("en")).withColumn("entities", entities).withColumn("token_count", F.size("__tokens"))
-    return out.withColumn("summary", F.substring(X.squeeze(F.col("text")), 1, summary_chars)).drop("__tokens")
+    out = out.withColumn("language", F.lit("en")).withColumn("entities", entities).withColumn("token_count", F.col("__a.token_count"))
+    return out.withColumn("summary", F.substring(X.squeeze(F.col("text")), 1, summary_chars)).drop("__a")
 
 
-def line_changes(before: Column, after: Column, drop_first: bool = True) -> tuple[Column, Column]:
-    """Lines of one side that the other lacks, repeats kept, in order: (added, removed).
+_CHANGES = T.StructType([T.StructField("added_lines", _STRINGS_TYPE), T.StructField("removed_lines", _STRINGS_TYPE)])
+_COMPARED = T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("unified_diff", T.StringType()), *_CHANGES.fields])
 
-    ``drop_first`` leaves out each line's first character (the compatible form).
-    """
-    cut = (lambda x: F.substring(x, 2, 2**31 - 1)) if drop_first else (lambda x: x)
-    a, b = X.lines(before), X.lines(after)
-    added = F.transform(F.filter(b, lambda x: ~F.array_contains(a, x)), cut)
-    removed = F.transform(F.filter(a, lambda x: ~F.array_contains(b, x)), cut)
-    return added, removed
 
+def _sides(a: list[str], b: list[str], cut: int) -> tuple[list[str], list[str]]:
+    one, other = set(a), set(b)
+    return [x[cut:] for x in b if x not in one], [x[cut:] for x in a if x not in other]
 
-_COMPARED = T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("unified_diff", T.StringType())])
 
+def line_changes(before: Column, after: Column, drop_first: bool = True) -> Column:
+    """(added_lines, removed_lines): lines of one side that the other lacks, repeats kept, in order.
+
+    ``drop_first`` leaves out each line's first character (the compatible form). Each side is looked
+    up as a set, which no built-in does inside a row without losing the repeats.
+    """
+    cut = int(drop_first)
+
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = [(None, None) if a is None or b is None else _sides(a.splitlines(), b.splitlines(), cut) for a, b in zip(x, y)]
+        return pd.DataFrame(rows, columns=_CHANGES.names, dtype=object)
 
-@F.pandas_udf(_COMPARED)
-def _compare(before: pd.Series, after: pd.Series) -> pd.DataFrame:
-    rows = []
-    for a, b in zip(before, after):
-        if a is None or b is None:
-            rows.append((None, None))
-            continue
-        x, y = a.splitlines(), b.splitlines()
-        rows.append((SequenceMatcher(a=x, b=y).ratio(), "\n".join(unified_diff(x, y, lineterm=""))))
-    return pd.DataFrame(rows, columns=["ratio", "unified_diff"])
+    return F.pandas_udf(run, _CHANGES).asNondeterministic()(before, after)
 
 
 def diff(df: DataFrame, before: str = "before", after: str = "after", drop_first: bool = True) -> DataFrame:
     """Adds ratio, unified_diff, added_lines, removed_lines and changed."""
-    added, removed = line_changes(F.col(before), F.col(after), drop_first)
-    out = df.withColumn("__d", _compare(F.col(before), F.col(after)))
-    out = out.withColumn("ratio", F.col("__d.ratio")).withColumn("unified_diff", F.col("__d.unified_diff")).drop("__d")
-    return out.withColumn("added_lines", added).withColumn("removed_lines", removed).withColumn("changed", F.col(before) != F.col(after))
+    cut = int(drop_first)
+
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, b in zip(x, y):
+            if a is None or b is None:
+                rows.append((None,) * 4)
+                continue
+            a, b = a.splitlines(), b.splitlines()
+            rows.append((SequenceMatcher(a=a, b=b).ratio(), "\n".join(unified_diff(a, b, lineterm="")), *_sides(a, b, cut)))
+        return pd.DataFrame(rows, columns=_COMPARED.names, dtype=object)
+
+    out = df.withColumn("__d", F.pandas_udf(run, _COMPARED).asNondeterministic()(F.col(before), F.col(after)))
+    for c in _COMPARED.names:
+        out = out.withColumn(c, F.col("__d")[c])
+    return out.drop("__d").withColumn("changed", F.col(before) != F.col(after))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import squeeze, words
+from docloom.operators.skew import salted_join
 
 _WORD = re.compile(r"[A-Za-z0-9']+")
 
@@ -60,9 +61,10 @@ def postings(df: DataFrame) -> DataFrame:
 def search_many(index: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, document_id, score, rank) for many queries (query_id, query) over ``postings``.
 
-    Query tokens are counted first, so a repeated token weighs its count in one join row.
+    Query tokens are counted first, so a repeated token weighs its count in one join row; the postings
+    of hot tokens are spread, and scores are summed before the shuffle.
     """
     asked = queries.select("query_id", F.explode(words(F.lower("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("w"))
-    scores = index.join(asked, "token").groupBy("query_id", "document_id").agg(F.sum("w").cast("double").alias("score"))
+    scores = salted_join(index, asked, ["token"], "inner").groupBy("query_id", "document_id").agg(F.sum("w").cast("double").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)

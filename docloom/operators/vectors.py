@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -47,11 +47,13 @@ def hash_embedding(c: Column, dim: int = 64) -> Column:
         cache: dict[str, int] = {}
         return s.map(lambda x: hash_vector(x, dim, cache), na_action="ignore")
 
-    return F.pandas_udf(run, T.ArrayType(T.DoubleType()), F.PandasUDFType.SCALAR)(c)
+    # declared non-deterministic, which it is not, so that filters derived from its result do not compute it again
+    return F.pandas_udf(run, T.ArrayType(T.DoubleType())).asNondeterministic()(c)
 
 
-def embed(df: DataFrame, text: str = "text", dim: int = 64) -> DataFrame:
-    return df.withColumn("values", hash_embedding(F.col(text), dim))
+def embed(df: DataFrame, text: str = "text", dim: int = 64, embedder: Callable[[Column, int], Column] = hash_embedding) -> DataFrame:
+    """Adds ``values``; ``embedder`` turns a text column into a column of vectors."""
+    return df.withColumn("values", embedder(F.col(text), dim))
 
 
 def upsert(records: DataFrame, order: str, keys: Sequence[str] = ("namespace", "record_id")) -> DataFrame:
@@ -77,6 +79,30 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.when(norm > 0, _dot(x, y) / norm).otherwise(0.0)).otherwise(0.0)
 
 
+def cosine_to(vector: Sequence[float]):
+    """``cosine`` with one query, as a function of a column of vectors, over Arrow batches of numbers."""
+    query = np.asarray(vector, np.float64)
+
+    def one(v: np.ndarray) -> float:
+        n = min(len(v), len(query))
+        norm = np.sqrt(v[:n] @ v[:n]) * np.sqrt(query[:n] @ query[:n])
+        return float(v[:n] @ query[:n] / norm) if norm > 0 else 0.0
+
+    def run(s: pd.Series) -> pd.Series:
+        given = s.dropna()
+        sizes = set(given.map(len))
+        if len(sizes) == 1 and sizes != {0}:
+            n = min(sizes.pop(), len(query))
+            m, q = np.stack(given.to_numpy())[:, :n], query[:n]
+            norm = np.sqrt((m * m).sum(axis=1)) * np.sqrt(q @ q)
+            scores = pd.Series(np.divide(m @ q, norm, out=np.zeros(len(m)), where=norm > 0), given.index)
+        else:
+            scores = given.map(lambda v: one(np.asarray(v, np.float64)))
+        return scores.reindex(s.index).astype(float)
+
+    return F.pandas_udf(run, T.DoubleType()).asNondeterministic()
+
+
 def matching(filters: Mapping[str, str | None], metadata: str = "metadata") -> Column:
     """All keys equal; a missing key equals an expected null."""
     out = F.lit(True)
@@ -97,62 +123,53 @@ def top_k(records: DataFrame, vector: Sequence[float], k: int = 5, namespace: st
         rows = rows.where(F.col("namespace") == namespace)
     if filters:
         rows = rows.where(matching(filters))
-    query = F.array(*[F.lit(float(x)) for x in vector])
-    score = cosine(F.col(column).cast("array<double>"), query)
+    score = cosine_to(vector)(F.col(column).cast("array<double>"))
     if digits is not None:
         score = F.round(score, digits)
     return rows.withColumn("score", score).orderBy(F.desc("score"), "record_id").limit(k)
 
 
+#: Queries and records that one task of ``top_k_many`` compares.
+QUERY_BLOCK, RECORD_BLOCK = 1024, 16_384
+
+
 def top_k_many(records: DataFrame, queries: DataFrame, k: int = 5, column: str = "vector") -> DataFrame:
-    """(query_id, record_id, score, rank) for many queries (query_id, query array), blocks of them per record batch.
+    """(query_id, record_id, score, rank) for many queries (query_id, query array) against all records.
 
-    The queries are a stated set: they are packed into blocks of 256 and each block meets each
-    partition of the records once; every task returns k rows per query, never all pairs.
+    The queries are a stated set. Both sides are cut into blocks of a bounded size; every block of
+    queries meets every block of records in a task of its own, which returns k rows a query, never all
+    pairs. Nothing is collected.
     """
-    blocks = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(16)))
-    packed = blocks.groupBy("b").agg(F.collect_list(F.struct("query_id", "query")).alias("qs")).collect()
-    parts = []
+    rid, qid = dict(records.dtypes)["record_id"], dict(queries.dtypes)["query_id"]
+    rows = records.where(F.col(column).isNotNull()).select("record_id", F.col(column).cast("array<double>").alias("v"))
+    asked = queries.where(F.col("query").isNotNull()).select("query_id", F.col("query").cast("array<double>").alias("q"))
+    rb, qb = (max(1, -(-df.count() // size)) for df, size in ((rows, RECORD_BLOCK), (asked, QUERY_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = rows.withColumn("rb", F.pmod(F.xxhash64("record_id"), F.lit(rb)).cast("int")).withColumn("qb", every(qb))
+    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int")).withColumn("rb", every(rb))
+
+    def score(qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
+        if not len(rs) or not len(qs):
+            return pd.DataFrame({"query_id": qs.query_id[:0], "record_id": rs.record_id[:0], "score": pd.Series([], dtype=float)})
+        sizes = rs.v.map(len).to_numpy()
+        by_size = [(at, np.stack(rs.v.to_numpy()[at]) if n else np.zeros((len(at), 0))) for n in set(sizes.tolist()) for at in [np.flatnonzero(sizes == n)]]
+        return pd.concat([_best(name, np.asarray(q), by_size, rs.record_id.to_numpy(), k) for name, q in zip(qs.query_id, qs.q)])
+
+    met = asked.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInPandas(score, f"query_id {qid}, record_id {rid}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "record_id")
-    for row in packed:
-        ids = [q["query_id"] for q in row["qs"]]
-        width = max(len(q["query"]) for q in row["qs"])
-        m = np.zeros((len(ids), width))
-        for i, q in enumerate(row["qs"]):
-            m[i, : len(q["query"])] = q["query"]
-        parts.append(_scored(records, ids, m, k, column, dict(queries.dtypes)["query_id"]))
-    if not parts:
-        return records.sparkSession.createDataFrame([], "query_id string, record_id string, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def _scored(records: DataFrame, ids: list, m: np.ndarray, k: int, column: str, kind: str) -> DataFrame:
-    shared = records.sparkSession.sparkContext.broadcast((ids, m))
-
-    def run(batches):
-        names, q = shared.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            width = max(q.shape[1], max(len(v) for v in pdf[column]))
-            v = np.zeros((len(pdf), width))
-            for i, x in enumerate(pdf[column]):
-                v[i, : len(x)] = x
-            dims = np.array([len(x) for x in pdf[column]])
-            for j, one in enumerate(q):
-                cut = v[:, : len(one)]
-                dot = cut @ one
-                mask = np.arange(len(one))[None, :] < dims[:, None]
-                norm = np.sqrt((cut * cut).sum(1)) * np.sqrt((mask * one * one).sum(1))
-                s = np.where(norm > 0, dot / np.where(norm > 0, norm, 1), 0.0)
-                top = np.lexsort((pdf.record_id.to_numpy().astype(str), -s))[:k]
-                yield pd.DataFrame({"query_id": [names[j]] * len(top), "record_id": pdf.record_id.to_numpy()[top], "score": s[top]})
-
-    rid = dict(records.dtypes)["record_id"]
-    return records.where(F.col(column).isNotNull()).select("record_id", column).mapInPandas(run, f"query_id {kind}, record_id {rid}, score double")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _best(name, q: np.ndarray, by_size: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best records of one query; vectors of differing lengths are compared over the common prefix."""
+    s = np.zeros(len(ids))
+    for at, m in by_size:
+        n = min(m.shape[1], len(q))
+        norm = np.sqrt((m[:, :n] ** 2).sum(axis=1)) * np.sqrt(q[:n] @ q[:n])
+        s[at] = np.divide(m[:, :n] @ q[:n], norm, out=np.zeros(len(at)), where=norm > 0)
+    top = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+    top = sorted(top, key=lambda i: (-s[i], ids[i]))[:k]
+    return pd.DataFrame({"query_id": [name] * len(top), "record_id": ids[top], "score": s[top]})
 
 
 def shape_hits(matches: DataFrame) -> DataFrame:
@@ -164,6 +181,6 @@ def shape_hits(matches: DataFrame) -> DataFrame:
     return matches.withColumn("provenance", F.map_concat(base, own)).withColumn("score_details", F.create_map(F.lit("similarity"), F.col("score")))
 
 
-def retrieve(records: DataFrame, query: str, k: int = 5, namespace: str | None = "default", filters: Mapping[str, str | None] | None = None, dim: int = 64, digits: int | None = None) -> DataFrame:
-    """The k records nearest to a text query, as hits."""
-    return shape_hits(top_k(records, hash_vector(query, dim), k, namespace, filters, digits=digits))
+def retrieve(records: DataFrame, query: str, k: int = 5, namespace: str | None = "default", filters: Mapping[str, str | None] | None = None, dim: int = 64, digits: int | None = None, embedder: Callable[[str, int], Sequence[float]] = hash_vector) -> DataFrame:
+    """The k records nearest to a text query, as hits; ``embedder`` turns the query into a vector."""
+    return shape_hits(top_k(records, embedder(query, dim), k, namespace, filters, digits=digits))

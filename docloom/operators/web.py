@@ -69,7 +69,7 @@ def scraped(html: Column, drop_script: bool = False) -> Column:
     def run(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(None, None, None, None) if x is None else read_page(x, drop_script) for x in s], columns=[f.name for f in SCRAPED])
 
-    return F.pandas_udf(run, SCRAPED, F.PandasUDFType.SCALAR)(html)
+    return F.pandas_udf(run, SCRAPED)(html)
 
 
 def scrape(df: DataFrame, html: str = "html", drop_script: bool = False) -> DataFrame:

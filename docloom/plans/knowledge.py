@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docloom.operators import documents as D
 from docloom.plans.operators import default_registry
-from docloom.plans.pipeline import Executor, Pipeline, Run, Step, compile_plan
+from docloom.plans.execution import Executor, Run
+from docloom.plans.pipeline import Pipeline, Step, compile_plan
 from docloom.storage import shared_folder
 
 

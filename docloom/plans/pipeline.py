@@ -1,25 +1,18 @@
-"""A declarative pipeline of operators: compiled to a plan, run with policies, resumable.
+"""A declarative pipeline of operators, compiled to a plan.
 
 Steps are DataFrame functions; a step's inputs are bound to the outputs of other steps or to the
-pipeline's inputs. Nothing of the data comes to the driver: a step returns a lazy DataFrame (or a
-value), and only checkpointed steps and those that ask for it are materialized.
+pipeline's inputs. ``docloom.plans.execution`` runs plans.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import time
-import uuid
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from dataclasses import asdict, dataclass, field
+from importlib.metadata import entry_points
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
-
-from docloom.plans.conditions import evaluate
-
 STATES = ("pending", "running", "succeeded", "failed", "skipped", "cancelled")
 ON_ERROR = ("abort", "continue", "fallback", "skip")
 
@@ -28,10 +21,6 @@ class PlanError(ValueError):
     """The pipeline cannot be planned."""
 
 
-class StepTimeout(RuntimeError):
-    """An attempt took longer than the step allows."""
-
-
 @dataclass(frozen=True)
 class Retry:
     max_attempts: int = 1
@@ -89,15 +78,41 @@ class Pipeline:
             raise PlanError(f"malformed pipeline: {e}") from e
 
 
+def definition(pipeline: Pipeline) -> str:
+    """The pipeline as indented JSON with sorted keys; parameters that JSON lacks come as text."""
+    return json.dumps(asdict(pipeline), sort_keys=True, indent=2, default=repr)
+
+
+def content_hash(pipeline: Pipeline) -> str:
+    return hashlib.sha256(definition(pipeline).encode()).hexdigest()
+
+
 class Registry:
     """Named operators with versions and priorities; the highest (priority, version, name) serves a capability."""
 
     def __init__(self) -> None:
         self._all: dict[str, tuple[str, int, str, Callable[..., Any]]] = {}
+        self._frozen = False
+
+    def freeze(self) -> Registry:
+        """No operator is added from here on."""
+        self._frozen = True
+        return self
+
+    def discover(self, group: str = "docloom.operators") -> list[str]:
+        """Registers what installed packages offer under the entry-point group; an offer is a function of the registry."""
+        before = set(self._all)
+        for point in sorted(entry_points(group=group), key=lambda e: e.name):
+            point.load()(self)
+        return sorted(set(self._all) - before)
 
     def register(self, name: str, run: Callable[..., Any], capability: str | None = None, priority: int = 0, version: str = "1.0") -> None:
+        if self._frozen:
+            raise PlanError("the registry is frozen")
         if name in self._all:
             raise PlanError(f"operator {name!r} is registered already")
+        if not callable(run) or not all(x.isdigit() for x in version.split(".")):
+            raise PlanError(f"operator {name!r} needs a function and a version of numbers")
         self._all[name] = (capability or name, priority, version, run)
 
     def resolve(self, name: str) -> str:
@@ -129,8 +144,13 @@ class Plan:
     dependencies: Mapping[str, tuple[str, ...]]
     fingerprint: str
 
+    @property
+    def capabilities(self) -> tuple[str, ...]:
+        """What the plan asks of the registry, each once, in order."""
+        return tuple(sorted({s.operator for s in self.pipeline.steps} | {f for s in self.pipeline.steps for f in s.fallbacks}))
 
-def _source(binding: str, step_ids: set[str]) -> tuple[str | None, str]:
+
+def binding_source(binding: str, step_ids: set[str]) -> tuple[str | None, str]:
     """('step', output) of ``step.output``; (None, name) of ``$pipeline.name``."""
     owner, _, name = binding.partition(".")
     if owner == "$pipeline":
@@ -155,7 +175,7 @@ def compile_plan(pipeline: Pipeline, registry: Registry) -> Plan:
                 raise PlanError(f"{s.step_id} depends on unknown {d!r}")
             own.add(d)
         for b in s.inputs.values():
-            owner, name = _source(b, known)
+            owner, name = binding_source(b, known)
             if owner is None and name not in pipeline.inputs:
                 raise PlanError(f"{s.step_id} reads undeclared input {name!r}")
             if owner is not None:
@@ -182,174 +202,3 @@ def compile_plan(pipeline: Pipeline, registry: Registry) -> Plan:
     }
     digest = hashlib.sha256(json.dumps(shape, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     return Plan(pipeline, tuple(order), levels, providers, needs, digest)
-
-
-@dataclass
-class Run:
-    """The state of one run; its tables are lists of rows for ``events``, ``lineage`` and ``dead_letter``."""
-
-    run_id: str
-    plan: Plan
-    states: dict[str, str]
-    results: dict[str, Any] = field(default_factory=dict)
-    errors: dict[str, str] = field(default_factory=dict)
-    retries: dict[str, int] = field(default_factory=dict)
-    events: list[dict[str, Any]] = field(default_factory=list)
-    lineage: list[dict[str, Any]] = field(default_factory=list)
-    checkpoints: dict[str, str] = field(default_factory=dict)
-    aborted: bool = False
-    cancelled: bool = False
-
-    @property
-    def outcome(self) -> str:
-        some = set(self.states.values())
-        if self.cancelled and not self.aborted:
-            return "cancelled"
-        if self.aborted:
-            return "partially_succeeded" if "succeeded" in some else "failed"
-        return "partially_succeeded" if "failed" in some else "succeeded"
-
-    @property
-    def dead_letter(self) -> dict[str, Any] | None:
-        if self.outcome not in ("failed", "partially_succeeded"):
-            return None
-        return {"run_id": self.run_id, "pipeline_id": self.plan.pipeline.pipeline_id, "errors": dict(self.errors), "retries": sum(self.retries.values()), "fingerprint": self.plan.fingerprint}
-
-
-class Executor:
-    """Runs plans. ``folder``: where checkpoints go (shared storage); none are written without it."""
-
-    def __init__(self, registry: Registry, spark: SparkSession | None = None, folder: str | None = None, sleep: Callable[[float], None] = time.sleep, on_event: Callable[[dict[str, Any]], None] | None = None):
-        self.registry, self.spark, self.folder, self.sleep, self.on_event = registry, spark, folder, sleep, on_event
-        self.dead_letters: dict[str, Run] = {}
-        self._stop: set[str] = set()
-
-    def cancel(self, run_id: str) -> None:
-        """The run stops before its next step; its Spark jobs are interrupted."""
-        self._stop.add(run_id)
-        if self.spark is not None:
-            self.spark.sparkContext.cancelJobsWithTag(f"run-{run_id}")
-
-    def execute(self, plan: Plan, inputs: Mapping[str, Any] | None = None, run: Run | None = None) -> Run:
-        inputs = dict(inputs or {})
-        missing = set(plan.pipeline.inputs) - set(inputs)
-        if missing or set(inputs) - set(plan.pipeline.inputs):
-            raise PlanError(f"inputs missing {sorted(missing)}, unknown {sorted(set(inputs) - set(plan.pipeline.inputs))}")
-        run = run or Run(str(uuid.uuid4()), plan, dict.fromkeys(plan.order, "pending"))
-        steps = {s.step_id: s for s in plan.pipeline.steps}
-        for step_id in plan.order:
-            if run.states[step_id] != "pending":
-                continue
-            if run.run_id in self._stop:
-                run.cancelled = True
-            if run.aborted or run.cancelled:
-                run.states[step_id] = "cancelled"
-                continue
-            if any(run.states[d] != "succeeded" for d in plan.dependencies[step_id]):
-                run.states[step_id] = "skipped"
-                continue
-            self._step(run, steps[step_id], inputs)
-        if run.dead_letter:
-            self.dead_letters[run.run_id] = run
-            self._event(run, None, "dead_lettered")
-        return run
-
-    def resume(self, run: Run, inputs: Mapping[str, Any] | None = None) -> Run:
-        """Continues a run: what succeeded stays (checkpoints are read again), all else is pending again."""
-        again = Run(run.run_id, run.plan, {k: v if v == "succeeded" else "pending" for k, v in run.states.items()}, dict(run.results), {}, dict(run.retries), list(run.events), list(run.lineage), dict(run.checkpoints))
-        for k, path in run.checkpoints.items():
-            again.results[k] = self.spark.read.parquet(path)
-        self._stop.discard(run.run_id)
-        return self.execute(run.plan, inputs, again)
-
-    def replay(self, run_id: str, inputs: Mapping[str, Any] | None = None) -> Run:
-        """Resumes a dead-lettered run and removes the letter; unknown ids are refused."""
-        if run_id not in self.dead_letters:
-            raise KeyError(run_id)
-        return self.resume(self.dead_letters.pop(run_id), inputs)
-
-    def _event(self, run: Run, step: str | None, what: str, **more: Any) -> None:
-        e = {"run_id": run.run_id, "step_id": step, "event": what, "at": datetime.now(timezone.utc), **more}
-        run.events.append(e)
-        if self.on_event:
-            try:
-                self.on_event(e)
-            except Exception:  # noqa: BLE001 - a listener must not end a run
-                run.events.append({**e, "event": "listener_failed"})
-
-    def _step(self, run: Run, step: Step, inputs: dict[str, Any]) -> None:
-        known = set(run.states)
-        bound = {}
-        for target, binding in step.inputs.items():
-            owner, name = _source(binding, known)
-            value = inputs[name] if owner is None else run.results[owner]
-            bound[target] = value[name] if owner is not None and name != "result" and isinstance(value, Mapping) else value
-        try:
-            if step.condition is not None and not evaluate(step.condition, {**inputs, **{d: run.results[d] for d in run.plan.dependencies[step.step_id]}, **bound}):
-                run.states[step.step_id] = "skipped"
-                self._event(run, step.step_id, "skipped")
-                return
-            run.states[step.step_id] = "running"
-            self._event(run, step.step_id, "started")
-            result, provider = self._attempts(run, step, bound)
-        except Exception as e:  # noqa: BLE001 - the policy decides
-            run.states[step.step_id] = "failed"
-            run.errors[step.step_id] = f"{type(e).__name__}: {e}"
-            self._event(run, step.step_id, "failed", error=run.errors[step.step_id])
-            for c in step.compensation:
-                self._event(run, step.step_id, "compensate", action=c)
-            run.aborted = step.on_error == "abort"
-            return
-        if step.checkpoint and self.folder and isinstance(result, DataFrame):
-            path = f"{self.folder}/{run.run_id}/{step.step_id}"
-            result.write.mode("overwrite").parquet(path)
-            run.checkpoints[step.step_id] = path
-            result = self.spark.read.parquet(path)
-        run.results[step.step_id] = result
-        run.states[step.step_id] = "succeeded"
-        run.lineage.append({"run_id": run.run_id, "step_id": step.step_id, "provider": provider, "parents": list(run.plan.dependencies[step.step_id])})
-        self._event(run, step.step_id, "succeeded", provider=provider)
-
-    def _attempts(self, run: Run, step: Step, bound: dict[str, Any]) -> tuple[Any, str]:
-        """The first provider that succeeds, each with its whole retry policy."""
-        error: Exception | None = None
-        for provider in run.plan.providers[step.step_id]:
-            for attempt in range(1, step.retry.max_attempts + 1):
-                if attempt > 1:
-                    run.retries[step.step_id] = run.retries.get(step.step_id, 0) + 1
-                    self.sleep(step.retry.delay(attempt))
-                try:
-                    return self._timed(run, step, provider, bound), provider
-                except Exception as e:  # noqa: BLE001 - tried again, or the next provider
-                    error = e
-                    self._event(run, step.step_id, "attempt_failed", provider=provider, attempt=attempt)
-        raise error
-
-    def _timed(self, run: Run, step: Step, provider: str, bound: dict[str, Any]) -> Any:
-        call = self.registry.run(provider)
-        if step.timeout is None:
-            return call(**bound, **step.params)
-        from concurrent.futures import ThreadPoolExecutor
-        from concurrent.futures import TimeoutError as Late
-
-        tag = f"run-{run.run_id}-{step.step_id}"
-        sc = self.spark.sparkContext if self.spark is not None else None
-
-        def work() -> Any:
-            if sc is not None:
-                sc.addJobTag(tag)
-            try:
-                return call(**bound, **step.params)
-            finally:
-                if sc is not None:
-                    sc.removeJobTag(tag)
-
-        pool = ThreadPoolExecutor(1)
-        try:
-            return pool.submit(work).result(step.timeout)
-        except Late as e:
-            if sc is not None:
-                sc.cancelJobsWithTag(tag)
-            raise StepTimeout(f"{step.step_id} took more than {step.timeout} s") from e
-        finally:
-            pool.shutdown(wait=False)

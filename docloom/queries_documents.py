@@ -93,9 +93,8 @@ def diff_lines(spark, sf):
     """Each document against the one with the next number: lines added and removed."""
     docs = documents(spark, sf).select("document_id", "text").where("text is not null")
     after = docs.select((F.col("document_id") - 1).alias("document_id"), F.col("text").alias("after"))
-    added, removed = D.line_changes(F.col("before"), F.col("after"))
-    pairs = docs.withColumnRenamed("text", "before").join(after, "document_id")
-    return pairs.select("document_id", F.array_join(added, "\n").alias("added"), F.array_join(removed, "\n").alias("removed"), (F.col("before") != F.col("after")).alias("changed"))
+    pairs = docs.withColumnRenamed("text", "before").join(after, "document_id").withColumn("d", D.line_changes(F.col("before"), F.col("after")))
+    return pairs.select("document_id", F.array_join("d.added_lines", "\n").alias("added"), F.array_join("d.removed_lines", "\n").alias("removed"), (F.col("before") != F.col("after")).alias("changed"))
 
 
 def diff_ratio(spark, sf):

@@ -52,7 +52,7 @@ def stream_event_counts(spark, sf):
     base = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
     table = KeyedTable(spark, f"{base}/table", ["hour", "event_type"], ["n"])
     rows = grouped.select(F.col("w.start").alias("hour"), "event_type", "n")
-    query = rows.writeStream.outputMode("update").foreachBatch(lambda df, n: table.merge(df, n)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query = rows.writeStream.outputMode("update").foreachBatch(lambda df, n: table.merge(df)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return table.read().select("hour", "event_type", "n")
 

@@ -2,11 +2,13 @@
 
 Intermediate results go to the shared folder that the session names in ``spark.checkpoint.dir``,
 never to a folder of one machine, so a lost executor costs a task retry only. A local folder is
-used solely where the session names none (tests on one machine).
+used solely where the session names none and runs on one machine (tests); it is removed at exit.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,8 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if _fallback is None:
-        _fallback = "file://" + tempfile.mkdtemp(prefix="docloom-")
+        made = tempfile.mkdtemp(prefix="docloom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _fallback = f"file://{made}"
     return _fallback
 
 

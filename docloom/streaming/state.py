@@ -51,8 +51,8 @@ def rate_limit(stream: DataFrame, key: str, at: str, tie: str, rate: float = 10.
 
 
 def keep_last(stream: DataFrame, table: KeyedTable, checkpoint: str, **trigger: Any):
-    """Merges every trigger's rows into a keyed table; a repeated batch changes nothing."""
-    return stream.writeStream.foreachBatch(lambda df, n: table.merge(df, n)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    """Merges every trigger's rows into a keyed table; repeated batches change nothing, new checkpoints lose nothing."""
+    return stream.writeStream.foreachBatch(lambda df, n: table.merge(df)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def drop_repeats(stream: DataFrame, keys: list[str], at: str, within: str = "1 day") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.operators import documents as D
+from docloom.operators import vectors as V
 
 ODD = [
     "  Hello\n\nWORLD  ", "", "   \t ", None, "a\r\nb\rc", "x y\u0085z\u001cw", "Straße ﬁn ΟΔΟΣ İx", "a😀b", "it's", 'say "x"', "both ' and \"", "back\\slash", "tab\tnew\nline '", "​zero",
@@ -63,7 +64,7 @@ def test_dedup_small_case_and_fingerprint(spark):
 def test_fingerprint_equals_the_literal_form(spark):
     df = frame(spark, ODD, {"a": "it's", "b": None})
     s = D.DedupSettings(fingerprint_metadata_keys=("a", "b", "c"))
-    for r in df.select("text", D.fingerprint(D.canonical(F.col("text"), s), s).alias("f")).collect():
+    for r in D.with_fingerprint(df, s).select("text", F.col("fingerprint").alias("f")).where("text is not null").collect():
         if r.text is not None:
             c = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", r.text)).casefold().strip()
             assert r.f == hashlib.sha256(repr({"text": c, "metadata": {"a": "it's", "b": None}}).encode()).hexdigest()
@@ -128,3 +129,25 @@ def test_diff(spark):
     assert r[2].ratio == 1.0
     assert r[3].ratio is None
     assert D.diff(df, drop_first=False).first().added_lines == ["hello world"]
+
+
+def python_nodes(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("ArrowEvalPython") + plan.count("MapInArrow") + plan.count("MapInPandas"), plan.count("regexp_extract_all")
+
+
+def test_texts_cross_to_python_once(spark):
+    df = frame(spark, ["Some text. More text."], {"source": "x"})
+    assert python_nodes(D.normalize(df).where("normalized_text <> ''")) == (1, 0)
+    assert python_nodes(D.enrich(df).where("size(keywords) > 0").select("statistics.*", "fingerprint", "summary")) == (1, 0)
+    assert python_nodes(D.chunk(df)) == (1, 0)
+    assert python_nodes(D.analyze(df).where("token_count > 1")) == (1, 0)
+    assert python_nodes(D.check(df, [D.Rule("a", min_unique_words=1), D.Rule("b", forbidden_terms=("x",))]).where("compliant")) == (1, 0)
+    assert python_nodes(V.embed(df).select(F.posexplode("values"))) == (1, 0)
+    assert python_nodes(D.Deduplicated(df).documents()) == (0, 0)  # written by the one pass before
+
+
+def test_diff_of_many_lines_is_not_quadratic(spark):
+    a, b = "\n".join(f"x{i}" for i in range(60_000)), "\n".join(f"x{i}" for i in range(1, 60_001))
+    df = spark.createDataFrame([(a, b), (None, b)], "before string, after string").withColumn("d", D.line_changes(F.col("before"), F.col("after"), False)).select("d.*")
+    assert [tuple(r) for r in df.orderBy(F.col("added_lines").isNull()).collect()] == [(["x60000"], ["x0"]), (None, None)]

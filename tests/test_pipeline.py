@@ -1,9 +1,14 @@
+import threading
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.plans.operators import default_registry
-from docloom.plans.pipeline import Executor, Pipeline, PlanError, Registry, Retry, Run, Step, compile_plan
+from docloom.plans import middleware as M
+from docloom.plans.components import ComponentError, Components, Lifecycle
+from docloom.plans.execution import Executor, Run, RunStore
+from docloom.plans.pipeline import Pipeline, PlanError, Registry, Retry, Step, compile_plan, content_hash, definition
 
 
 def registry(**more):
@@ -52,7 +57,7 @@ def test_bindings_and_conditions():
 
 @pytest.mark.parametrize(("policy", "states", "outcome"), [("abort", ("failed", "cancelled", "cancelled"), "failed"), ("continue", ("failed", "succeeded", "skipped"), "partially_succeeded"), ("skip", ("failed", "succeeded", "skipped"), "partially_succeeded")])
 def test_on_error(policy, states, outcome):
-    ex, r = run([Step("a", "fail", on_error=policy, compensation=("undo",)), Step("b", "one"), Step("c", "one", depends_on=("a",))])
+    ex, r = run([Step("a", "fail", on_error=policy, compensation=("undo",)), Step("b", "one"), Step("c", "one", depends_on=("a",))], max_concurrency=1)
     assert tuple(r.states[k] for k in "abc") == states
     assert r.outcome == outcome
     assert any(e["event"] == "compensate" for e in r.events)
@@ -128,3 +133,146 @@ def test_dataframe_pipeline_with_checkpoint_and_resume(spark, tmp_path):
     again = ex.resume(r, {"docs": docs})
     assert again.results["d"].count() == 1
     assert [x["step_id"] for x in again.lineage] == ["d", "n", "c"] or {x["step_id"] for x in again.lineage} == {"n", "d", "c"}
+
+
+def test_steps_run_side_by_side_up_to_the_bound():
+    gate, most, now, lock = threading.Barrier(3, timeout=10), [0], [0], threading.Lock()
+
+    def meet():
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        gate.wait()  # only three at once get through
+        with lock:
+            now[0] -= 1
+        return 1
+
+    _, r = run([Step(f"s{i}", "meet") for i in range(6)], registry(meet=meet), max_concurrency=3)
+    assert (r.outcome, most[0]) == ("succeeded", 3)
+
+
+def test_a_failing_spark_job_is_inside_the_attempt(spark, tmp_path):
+    calls = []
+
+    def bad():
+        calls.append(1)
+        return spark.range(3).select(F.raise_error(F.lit("no")).cast("long").alias("x"))
+
+    reg = registry(bad=bad, good=lambda: spark.range(4))
+    ex = Executor(reg, spark, f"file://{tmp_path}", sleep=lambda s: None)
+    plan = compile_plan(Pipeline("p", (Step("a", "bad", retry=Retry(3), on_error="continue", checkpoint=True), Step("b", "bad", fallbacks=("good",)), Step("c", "one")), ()), reg)
+    r = ex.execute(plan)
+    assert r.states == {"a": "failed", "b": "succeeded", "c": "succeeded"}
+    assert (r.results["b"].count(), r.retries["a"], len(calls), r.outcome) == (4, 2, 4, "partially_succeeded")
+    assert ex.store.letters() == [r.run_id]
+
+
+def test_timeout_covers_the_job_and_interrupts_it(spark, tmp_path):
+    slow = lambda: spark.range(200).repartition(2).select(F.expr("java_method('java.lang.Thread', 'sleep', 50L)").alias("x"))
+    reg = registry(slow=slow)
+    ex = Executor(reg, spark, f"file://{tmp_path}")
+    start = time.time()
+    r = ex.execute(compile_plan(Pipeline("p", (Step("a", "slow", timeout=1.0),)), reg))
+    assert ("StepTimeout" in r.errors["a"] or "cancel" in r.errors["a"].lower()) and time.time() - start < 15
+
+
+def test_runs_outlive_their_executor(spark, tmp_path):
+    left = [1]
+
+    def later(x):
+        left[0] -= 1
+        return 1 / 0 if left[0] >= 0 else x + 1
+
+    reg = registry(later=later, rows=lambda: spark.range(5))
+    plan = compile_plan(Pipeline("p", (Step("v", "one"), Step("t", "rows", checkpoint=True), Step("l", "later", {"x": "v.result"}))), reg)
+    folder = f"file://{tmp_path}"
+    first = Executor(reg, spark, folder, max_concurrency=1).execute(plan)
+    assert first.outcome == "partially_succeeded"
+    other = Executor(reg, spark, folder)
+    again = other.resume_id(first.run_id, plan)
+    assert (again.outcome, again.results["l"], again.results["t"].count()) == ("succeeded", 2, 5)
+    assert again.states["v"] == "succeeded" and [e["event"] for e in again.events].count("started") == 4
+    with pytest.raises(PlanError):
+        other.resume_id(first.run_id, compile_plan(Pipeline("q", (Step("v", "one"),)), reg))
+    store = RunStore(spark, folder)
+    assert store.snapshots().select("outcome").first()[0] == "succeeded"
+    assert {r.step_id for r in store.table("lineage").collect()} == {"v", "t", "l"}
+    store.pop_letter(first.run_id)
+    with pytest.raises(KeyError):
+        store.pop_letter(first.run_id)
+    with pytest.raises(KeyError):
+        store.load("nobody", plan)
+
+
+def test_middleware_order_and_kinds():
+    seen, slept, tracer = [], [], M.Tracer()
+    mark = lambda name, **k: M.Middleware(name, lambda a, go: (seen.append(name), go())[1], **k)
+    items = [mark("x", after=("y",)), mark("y"), mark("z", priority=9), mark("w", before=("z",)), tracer.middleware()]
+    assert [m.name for m in M.ordered(items)] == ["tracing", "w", "z", "y", "x"]
+    _, r = run([Step("a", "one"), Step("b", "fail", on_error="continue")], middleware=[*items, M.logs()], max_concurrency=1)
+    assert seen[:4] == ["w", "z", "y", "x"]
+    assert [(s["step_id"], s["succeeded"]) for s in tracer.spans] == [("a", True), ("b", False)]
+    for bad in ([mark("p", after=("q",)), mark("q", after=("p",))], [mark("p"), mark("p")]):
+        with pytest.raises(ValueError):
+            M.ordered(bad)
+    at = M.Attempt("r", "s", "p", 1)
+    left = [2, 1, 0]
+    assert M.chain([M.retries(3, 0.5, sleep=slept.append)], at, lambda: 7 if left.pop() == 2 else 1 / 0) == 7 and slept == [0.5, 0.5]
+    with pytest.raises(ZeroDivisionError):
+        M.chain([M.retries(2, sleep=slept.append)], at, lambda: 1 / 0)
+    limit = M.rate_limits(1.0, 1, clock=lambda: 5.0, sleep=slept.append)
+    slept.clear()
+    assert [M.chain([limit], at, lambda: 1) for _ in range(3)] == [1, 1, 1] and slept == [1.0, 2.0]
+    with pytest.raises(TimeoutError):
+        M.chain([M.deadline(0.05)], at, lambda: time.sleep(0.5))
+
+
+def test_signals():
+    s, got = M.Signals(), []
+    s.connect("x", lambda n: got.append(n))
+    s.connect("x", lambda n: 1 / 0)
+    assert len(s.send("x", n=1)) == 1 and got == [1]
+    s.connect("x", lambda n: 1 / 0, critical=True)
+    with pytest.raises(ZeroDivisionError):
+        s.send("x", n=2)
+    assert s.send("other") == []
+
+
+def test_components_and_lifecycle():
+    closed, c = [], Components()
+    c.provide("base", lambda: [1], kind=list, teardown=lambda x: closed.append("base"))
+    c.provide("user", lambda b: {"b": b}, {"b": "base"}, teardown=lambda x: closed.append("user"))
+    c.provide("odd", lambda: 1, kind=str)
+    c.provide("p", lambda q: q, {"q": "q"})
+    c.provide("q", lambda p: p, {"p": "p"})
+    assert c.get("user")["b"] is c.get("base")
+    for bad in ("odd", "p", "nobody"):
+        with pytest.raises(ComponentError):
+            c.get(bad)
+    with pytest.raises(ComponentError):
+        c.provide("base", list)
+    c.close()
+    assert closed == ["user", "base"]
+    entered = []
+    life = Lifecycle({"validated": lambda: entered.append(1)})
+    life.enter("validated")
+    assert entered == [1]
+    with pytest.raises(ComponentError):
+        life.enter("activated")
+
+
+def test_registry_is_checked_frozen_and_discovers():
+    reg = registry()
+    for bad in (("n", 5, {}), ("n", lambda: 1, {"version": "x"})):
+        with pytest.raises(PlanError):
+            reg.register(bad[0], bad[1], **bad[2])
+    assert reg.discover("no.such.group") == []
+    with pytest.raises(PlanError):
+        reg.freeze().register("late", lambda: 1)
+
+
+def test_definition_capabilities_and_hash():
+    a = Pipeline("p", (Step("b", "one", fallbacks=("inc",)), Step("a", "one")))
+    assert compile_plan(a, registry()).capabilities == ("inc", "one")
+    assert definition(a).startswith("{") and content_hash(a) == content_hash(Pipeline("p", a.steps))
+    assert content_hash(a) != content_hash(Pipeline("p", a.steps[:1]))

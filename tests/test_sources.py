@@ -35,13 +35,37 @@ def test_keyed_table_merges_and_repeats(spark, tmp_path):
     t = tables.KeyedTable(spark, f"file://{tmp_path}/t", ["k"], ["at"])
     assert t.read() is None
     rows = lambda *x: spark.createDataFrame(list(x), "k string, v int, at int")
-    t.merge(rows(("a", 1, 1), ("a", 2, 2), ("b", 1, 1)), 0)
-    t.merge(rows(("a", 3, 1), ("c", 1, 1)), 1)
-    t.merge(rows(("a", 9, 9)), 1)
-    t.merge(rows(("b", 5, 5)), 2)
+    t.merge(rows(("a", 1, 1), ("a", 2, 2), ("b", 1, 1)))
+    t.merge(rows(("a", 3, 1), ("c", 1, 1)))
+    t.merge(rows(("a", 3, 1), ("c", 1, 1)))
+    t.merge(rows(("b", 5, 5)))
     assert {tuple(r) for r in t.read().collect()} == {("a", 2, 2), ("b", 5, 5), ("c", 1, 1)}
 
 
+def test_keyed_table_compacts_and_keeps_its_rows(spark, tmp_path):
+    t = tables.KeyedTable(spark, f"file://{tmp_path}/t", ["k"], ["at"], compact_every=3)
+    for i in range(9):
+        t.merge(spark.createDataFrame([(i % 4, i, i), (100 + i, i, i)], "k int, v int, at int"))
+        want = {(j % 4, j) for j in range(max(0, i - 3), i + 1)} | {(100 + j, j) for j in range(i + 1)}
+        assert {(r.k, r.v) for r in t.read().collect()} == want
+    assert len(t._parts()) <= 4 and t._numbers("v")
+    t.compact()
+    t.compact()
+    assert len(t._parts()) == 1 and t.read().count() == 13
+
+
+def test_artifacts(spark, tmp_path):
+    t = tables.ArtifactTable(spark, f"file://{tmp_path}/a")
+    assert t.get("x") is None
+    t.put("x", b"one", datetime(2025, 1, 1))
+    t.put("x", b"two", datetime(2025, 1, 2))
+    t.put("y", b"", datetime(2025, 1, 2))
+    assert (t.get("x"), t.get("y"), t.get("z")) == (b"two", b"", None)
+    assert {(r.key, r.size) for r in t.read().collect()} == {("x", 3), ("y", 0)}
+    with pytest.raises(Exception, match="an artifact has a key"):
+        t.put(None, b"", datetime(2025, 1, 2))
+
+
 class Colour(Enum):
     RED = "red"
 

@@ -55,6 +55,14 @@ def test_keep_last_table(spark, files):
     assert got == want
 
 
+def test_a_new_checkpoint_loses_nothing(spark, files):
+    path, where = files
+    table = KeyedTable(spark, f"file://{where}/table2", ["user"], ["at", "n"])
+    state.keep_last(stream(spark, path).where("user = 1"), table, f"{where}/ck-a").awaitTermination(120)
+    state.keep_last(stream(spark, path).where("user in (2, 3)"), table, f"{where}/ck-b").awaitTermination(120)
+    assert sorted(r.user for r in table.read().collect()) == [1, 2, 3]
+
+
 def test_repeats_are_dropped(spark, files):
     path, where = files
     out = run(spark, state.drop_repeats(stream(spark, path).where("user is not null"), ["user"], "at", "30 days").select("user"), "once", where)
