@@ -8,6 +8,7 @@
 3. The remaining components are labelled by minimum propagation over the edges in alternating
    large-star and small-star rounds (Kiveris et al. 2014): plain propagation needs as many rounds
    as a chain is long, this needs about the logarithm, and every round keeps the components.
+   Finished components leave every second round, so long chains cost rounds over themselves only.
 
 Each round is a table in the shared folder; nothing of the graph reaches the driver but counts and
 the id of the peeled vertex, and no join is broadcast. Hot vertices are combined before the shuffle
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import SPACE_CHARS
@@ -55,8 +56,8 @@ def _pointed(rows: DataFrame, least: DataFrame, on: str) -> DataFrame:
     return rows.join(least.hint("merge"), on)
 
 
-def _star_round(e: DataFrame, staging: Staging) -> tuple[DataFrame, tuple]:
-    """One large-star and one small-star step over edges (smaller a, larger b); the edges and their mark."""
+def _star_round(e: DataFrame, staging: Staging) -> DataFrame:
+    """One large-star and one small-star step over edges (smaller a, larger b)."""
     both = _both_ways(e)
     least = staging.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     # every larger neighbour of u points to the smallest of u and its neighbours
@@ -64,11 +65,25 @@ def _star_round(e: DataFrame, staging: Staging) -> tuple[DataFrame, tuple]:
     lower = staging.put(large.groupBy("b").agg(F.min("a").alias("m")))
     # u and its smaller neighbours point to the smallest of them
     moved = _pointed(large, lower, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    seen = Observation()
-    out = moved.unionByName(lower.select(F.col("m").alias("a"), "b")).distinct()
-    out = staging.put(out.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
+    out = staging.put(moved.unionByName(lower.select(F.col("m").alias("a"), "b")).distinct())
     staging.drop(least, large, lower)
-    return out, (seen.get["n"], seen.get["h"])
+    return out
+
+
+def _settled(e: DataFrame, staging: Staging) -> tuple[DataFrame, DataFrame]:
+    """Edges of components that still move, and those of finished stars, which no later round reads.
+
+    A vertex is busy if it points to two vertices, or points and is pointed to; a star is finished if
+    neither its centre nor any of its leaves is busy.
+    """
+    ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.lit(1).alias("low"), F.lit(0).alias("high")), F.struct(F.col("b").alias("u"), F.lit(0).alias("low"), F.lit(1).alias("high")))).alias("x")).select("x.*")
+    busy = ends.groupBy("u").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).where("high > 1 or (high > 0 and low > 0)").select("u")
+    busy = staging.put(busy)
+    touched = e.join(busy.hint("merge").withColumnRenamed("u", "b"), "b", "left_semi").select("a")
+    centres = touched.unionByName(busy.withColumnRenamed("u", "a")).distinct().withColumn("moves", F.lit(True))
+    marked = staging.put(e.join(centres.hint("merge"), "a", "left"))
+    staging.drop(busy)
+    return marked.where("moves").select("a", "b"), marked.where("moves is null").select("a", "b")
 
 
 def _numbered(e: DataFrame, staging: Staging) -> tuple[DataFrame, DataFrame]:
@@ -117,18 +132,17 @@ def _labelled(e: DataFrame, hub: int, peel_rounds: int, max_rounds: int, staging
         rest = rest.join(inside.hint("merge").select(F.col("u").alias("a"), F.lit(True).alias("ia")), "a", "left")
         rest = rest.join(inside.hint("merge").select(F.col("u").alias("b"), F.lit(True).alias("ib")), "b", "left")
         rest = _ordered(rest, F.when(F.col("ia"), F.lit(least)).otherwise(F.col("a")), F.when(F.col("ib"), F.lit(least)).otherwise(F.col("b")))
-    now, before = staging.put(rest), None
-    for _ in range(max_rounds):
+    now, stars = staging.put(rest), []
+    for turn in range(max_rounds):
         if now.isEmpty():
             break
-        after, mark = _star_round(now, staging)
-        staging.drop(now)
-        now = after
-        if mark == before:
-            break
-        before = mark
+        now = _star_round(now, staging)
+        if turn % 2:
+            now, finished = _settled(now, staging)
+            stars.append(finished)
     else:
         raise RuntimeError("the groups did not settle")
+    now = reduce(DataFrame.unionByName, stars, now)
     label = now.where(F.col("b") == least).select("a").first()
     label = label["a"] if label else least
     stars = now.select(F.col("a").alias("g"), F.col("b").alias("v"))

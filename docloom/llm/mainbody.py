@@ -109,14 +109,14 @@ def blocks(html: str) -> tuple[list[tuple[str, str, int, int]], str]:
 
 
 def _shape(s: str, low: str, words: int, site: str) -> tuple:
-    head = s.lstrip()[:28]
-    letters = sum(map(str.isalpha, s[:200])) or 1
+    colon = s.lstrip().find(":")
+    letters = sum(map(str.isalpha, s)) or 1
     return (
         float(bool(site) and site in low),
         float(s.rstrip()[-1:] in ".!?…”\"»"),
-        float(":" in head and not head.startswith(":")),
-        sum(map(str.isdigit, s[:200])) / (len(s[:200]) or 1),
-        sum(map(str.isupper, s[:200])) / letters,
+        float(0 < colon < 28),
+        sum(map(str.isdigit, s)) / (len(s) or 1),
+        sum(map(str.isupper, s)) / letters,
         float(sum(s.count(c) for c in "|©{};@")),
     )
 

@@ -7,6 +7,9 @@ bisected again; then each piece but the first is extended back by the last ``ove
 the piece before it, so no piece exceeds ``limit``. Token: a longest run of non-whitespace.
 Boundaries, by strength: a blank line (3), a line break (2), a sentence end (1).
 
+Any overlap below the limit is allowed. Where a segment is shorter than two overlaps its cut leaves a
+quarter on either side instead; a first piece that is shorter than the overlap is repeated whole.
+
 Defined results: null, empty and short texts have no pieces (they need none); a text without any
 boundary is cut at midpoints; a text is always read whole, whatever its length.
 """
@@ -71,9 +74,10 @@ def bisect(n: int, found: dict[int, int], limit: int, overlap: int) -> list[int]
                 return None
             return min(inside, key=lambda p: ((-found[p] if strong else 0), abs(p - middle), p))
 
-        cut = best(a + max(quarter, overlap), b - max(quarter, overlap), True)
+        least = overlap if 2 * overlap < b - a else quarter
+        cut = best(a + max(quarter, least), b - max(quarter, least), True)
         if cut is None:
-            cut = best(a + overlap, b - overlap, False)
+            cut = best(a + max(1, least), b - max(1, least), False)
         if cut is None:
             cut = middle
         stack += [(cut, b), (a, cut)]  # the left half first
@@ -93,7 +97,7 @@ def _split(text: str, at: list[tuple[int, int]], limit: int, overlap: int) -> li
     found = boundaries(text, at)
     kind = "forced" if longest_stretch(n, found) > limit else "natural"
     ends = bisect(n, found, limit, overlap)
-    starts = [0, *[e - overlap for e in ends[:-1]]]
+    starts = [0, *[max(0, e - overlap) for e in ends[:-1]]]
     return [(s, e, kind) for s, e in zip(starts, ends)]
 
 
@@ -103,8 +107,8 @@ def split_oversized(df: DataFrame, limit: int = 128, overlap: int = 16) -> DataF
     ``cut`` is forced if some stretch without a boundary inside is longer than ``limit``, else
     natural; it is the same for all pieces of a text. ``piece_id`` is ``key:index``.
     """
-    if not 0 <= overlap * 4 <= limit:
-        raise ValueError("the overlap is at most a quarter of the limit")
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap is smaller than the limit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,14 @@
+from pathlib import Path
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from read_pages import READ
 
 from docloom.llm import mainbody as M
 
+SF = Path("/root/testdata/sf0.1")
+
 PAGE = """<!doctype html><html><head><title>On rivers | The Site</title><style>.a{b:c}</style></head><body>
 <div class="nav"><a href="/a">Home</a><a href="/b">News</a></div>
 <div class="body"><h1>On rivers</h1><span>By Ann Other</span><time>Published 2025-01-01</time>
@@ -82,3 +89,25 @@ def test_held_out_accuracy():
     half = len(data) // 2
     t = M.Tree(data[:half, 1:], data[:half, 0])
     assert ((t.predict(data[half:, 1:]) >= 0.5) == (data[half:, 0] == 1)).mean() > 0.97
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables here")
+@pytest.mark.parametrize(("markup", "least"), [(True, 0.99), (False, 0.85)])
+def test_pages_told_by_reading(spark, markup, least):
+    """Pages that no label was made of, against lines told by a reader and not by rules."""
+    texts = spark.read.parquet(f"{SF}/scraped_documents.parquet").where("text is not null").dropDuplicates(["page_id"]).select("page_id", "title", "text")
+    html = spark.read.parquet(f"{SF}/scrape_requests.parquet").where("html is not null").dropDuplicates(["page_id"]).select("page_id", "html" if markup else F.lit(None).cast("string").alias("html"))
+    pages = texts.where(F.col("page_id").isin(list(READ))).join(html, "page_id")
+    got = {}
+    for r in M.main_lines(pages).collect():
+        got.setdefault(r.page_id, set()).add(r.line_no)
+    hits = sum(len(got[p] & main) for p, (main, _) in READ.items())
+    assert hits / sum(len(main) for main, _ in READ.values()) >= least
+    assert hits / sum(len(got[p] - unsure) for p, (_, unsure) in READ.items()) >= least
+
+
+def test_a_long_block_is_judged_by_all_of_it():
+    clean, codes = "plain words " * 30, "X9" * 300
+    a, b = (M.block_features([(x, "p", 0, 0)], "")[0] for x in (clean, clean + codes))
+    digits, upper = M.FEATURES.index("digits"), M.FEATURES.index("upper")
+    assert a[digits] == 0 and b[digits] > 0.3 and b[upper] > 0.3

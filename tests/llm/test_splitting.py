@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -57,3 +58,20 @@ def test_table(spark):
     assert five[-1].end_token == 100_000
     assert max(r.tokens for r in five) <= 128
     assert S.split_oversized(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("overlap", [0, 1, 3, 5, 9])
+def test_any_overlap_below_the_limit(overlap):
+    text = " ".join(f"w{i}{'.' if i % 4 == 0 else ''}" for i in range(137))
+    pieces = S.split_text(text, 10, overlap)
+    assert pieces[0][0] == 0 and pieces[-1][1] == 137
+    for (_, e, _), (s, z, _) in zip(pieces, pieces[1:]):
+        assert s == max(0, e - overlap) and z > e
+    assert all(0 < e - s <= 10 for s, e, _ in pieces)
+
+
+def test_wrong_overlap(spark):
+    df = spark.createDataFrame([], "key long, text string")
+    for overlap in (-1, 10, 11):
+        with pytest.raises(ValueError):
+            S.split_oversized(df, 10, overlap)
