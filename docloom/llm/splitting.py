@@ -74,10 +74,10 @@ def bisect(n: int, found: dict[int, int], limit: int, overlap: int) -> list[int]
                 return None
             return min(inside, key=lambda p: ((-found[p] if strong else 0), abs(p - middle), p))
 
-        least = overlap if 2 * overlap < b - a else quarter
+        least = max(1, overlap if 2 * overlap < b - a else quarter)
         cut = best(a + max(quarter, least), b - max(quarter, least), True)
         if cut is None:
-            cut = best(a + max(1, least), b - max(1, least), False)
+            cut = best(a + least, b - least, False)
         if cut is None:
             cut = middle
         stack += [(cut, b), (a, cut)]  # the left half first
