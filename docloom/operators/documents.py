@@ -157,6 +157,10 @@ class Deduplicated:
         joined = self.rows.join(first, self.order).where("fingerprint = __fp")
         return joined.drop("__fp").withColumnRenamed("__canonical", "text")
 
+    def retained(self) -> DataFrame:
+        """The documents kept, with ``dedup``: their fingerprint and how many copies were dropped."""
+        return self.documents().withColumn("dedup", F.struct("fingerprint", "duplicate_count")).drop("fingerprint", "duplicate_count")
+
     def decisions(self) -> DataFrame:
         """(duplicate_document_id, canonical_document_id, fingerprint, reason) of the documents dropped."""
         several = self.groups.where("__n > 1")

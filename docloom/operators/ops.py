@@ -158,6 +158,19 @@ def mark_run(schedules: DataFrame, ran_at: Column) -> DataFrame:
     return ran.withColumn("next_run_at", F.col("next_run")).withColumn("state", F.when(F.col("next_run").isNull(), "done").otherwise("scheduled")).drop("next_run")
 
 
+def pause(schedules: DataFrame, which: Column) -> DataFrame:
+    """Scheduled ones among ``which`` wait until they are resumed."""
+    stops = F.coalesce(which & (F.col("state") == "scheduled"), F.lit(False))
+    return schedules.withColumn("state", F.when(stops, "paused").otherwise(F.col("state")))
+
+
+def resume(schedules: DataFrame, which: Column, now: Column) -> DataFrame:
+    """Paused ones among ``which`` go on; those that expired meanwhile end."""
+    goes = F.coalesce(which & (F.col("state") == "paused"), F.lit(False))
+    ended = F.coalesce(F.col("expires_at") <= now, F.lit(False))
+    return schedules.withColumn("state", F.when(goes & ended, "expired").when(goes, "scheduled").otherwise(F.col("state")))
+
+
 def dispatch(schedules: DataFrame, now: Column) -> DataFrame:
     """One queued job per due schedule; its id follows from schedule and due time, so a retry adds none."""
     d = due(schedules, now)
@@ -226,6 +239,9 @@ LISTINGS = {
     "runs": ("created_at", "run_id"),
     "dead_letters": ("-created_at", "run_id"),
     "metadata": ("namespace", "key"),
+    "pipelines": ("project", "name"),
+    "versions": ("pipeline", "-version"),
+    "records": ("-created_at", "id"),
 }
 
 

@@ -156,14 +156,31 @@ class Crawl:
         return visited.join(titles, "url", "left").withColumn("found", F.col("title").isNotNull())
 
 
-def monitor(df: DataFrame, key: str = "url", body: str = "body", at: str = "fetched_at", tie: str | None = None) -> DataFrame:
+def crawl_counters(visited: DataFrame) -> DataFrame:
+    """How many urls a crawl visited, how many of them it stored, and the pages stored per depth."""
+    return visited.groupBy("depth").agg(F.count(F.lit(1)).alias("visited"), F.count_if("found").alias("stored_pages"), F.count_distinct(F.when(F.col("found"), F.col("url"))).alias("stored_urls"))
+
+
+def monitor(df: DataFrame, key: str = "url", body: str = "body", at: str = "fetched_at", tie: str | None = None, staging: Staging | None = None) -> DataFrame:
     """Adds body_sha256, previous_sha256 and changed: against the observation before, per key.
 
-    A first observation counts as changed. Only digests enter the window, never bodies.
+    A first observation counts as changed. Only digests are shuffled, never bodies. Observations are
+    ranged by key and time, so a key with very many is spread over several parts; what comes before a
+    part's first is looked up in the last of the part before, of which only keys that a border runs
+    through have any: two rows a part at most.
     """
-    own = Window.partitionBy(key).orderBy(at, *([tie] if tie else []))
+    staging = staging or Staging(df.sparkSession, "monitor")
+    order = [at, *([tie] if tie else [])]
     digest = df.withColumn("body_sha256", F.sha2(F.col(body), 256)).drop(body)
-    out = digest.withColumn("previous_sha256", F.lag("body_sha256").over(own))
+    parts = staging.put(digest.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()))
+    own = Window.partitionBy(key, "__part").orderBy(*order)
+    out = parts.withColumn("__row", F.row_number().over(own)).withColumn("previous_sha256", F.lag("body_sha256").over(own))
+    ends = parts.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__of")).agg(F.max_by("body_sha256", F.struct(*order)).alias("__last"))
+    across = ends.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("__key"))).where("__n > 1")
+    before = across.select("__key", "__of", F.lag("__last").over(Window.partitionBy("__key").orderBy("__of")).alias("__before"))
+    out = out.join(F.broadcast(before), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__of")), "left")
+    out = out.withColumn("previous_sha256", F.when(F.col("__row") == 1, F.col("__before")).otherwise(F.col("previous_sha256")))
+    out = out.drop("__part", "__row", "__key", "__of", "__before")
     return out.withColumn("changed", F.col("previous_sha256").isNull() | (F.col("previous_sha256") != F.col("body_sha256")))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
-from pathlib import Path, PurePosixPath
+from pathlib import PurePosixPath
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,30 +19,47 @@ def check_key(key: str) -> str:
     return str(PurePosixPath(key))
 
 
+def open_folder(folder: str) -> tuple[Any, str]:
+    """File system and path of a folder named by a path or a URI (file, hdfs, s3, gs and so on)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
 class BlobStore:
-    """A folder that all executors see (a mounted path); writes replace a file in one step."""
+    """A folder that all executors see, by URI; a blob appears under its key when it is complete."""
 
     def __init__(self, folder: str):
-        self.folder = folder.removeprefix("file://")
+        self.folder = folder.rstrip("/")
 
-    def _path(self, key: str) -> Path:
-        return Path(self.folder, check_key(key))
+    def _open(self, key: str) -> tuple[Any, str]:
+        files, root = open_folder(self.folder)
+        return files, f"{root}/{check_key(key)}"
 
     def put(self, key: str, content: bytes) -> None:
-        p = self._path(key)
-        p.parent.mkdir(parents=True, exist_ok=True)
-        part = p.with_name(f".{p.name}.{uuid.uuid4().hex}")
-        part.write_bytes(content)
-        os.replace(part, p)
+        files, path = self._open(key)
+        parent, _, name = path.rpartition("/")
+        files.create_dir(parent, recursive=True)
+        part = f"{parent}/.{name}.{uuid.uuid4().hex}"
+        with files.open_output_stream(part) as out:
+            out.write(content)
+        files.move(part, path)
+
+    def _is_file(self, files: Any, path: str) -> bool:
+        return files.get_file_info(path).is_file
 
     def get(self, key: str) -> bytes | None:
-        p = self._path(key)
-        return p.read_bytes() if p.is_file() else None
+        files, path = self._open(key)
+        if not self._is_file(files, path):
+            return None
+        with files.open_input_stream(path) as f:
+            return f.read()
 
     def delete(self, key: str) -> bool:
-        p = self._path(key)
-        found = p.is_file()
-        p.unlink(missing_ok=True)
+        files, path = self._open(key)
+        found = self._is_file(files, path)
+        if found:
+            files.delete_file(path)
         return found
 
     def write(self, df: DataFrame, key: str = "key", content: str = "content") -> DataFrame:
@@ -59,6 +76,7 @@ class BlobStore:
 
     def read(self, spark: SparkSession, pattern: str = "*") -> DataFrame:
         """(key, content, size, modified) of every blob whose file name matches; Spark's binaryFile leaves out empty ones."""
-        root = Path(self.folder).resolve().as_posix()
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-        return files.select(F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{root}/", "").alias("key"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(self.folder)
+        root = open_folder(self.folder)[1].rstrip("/")
+        inside = F.substring_index("path", f"{root}/", -1)
+        return files.select(inside.alias("key"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
-from pathlib import Path
-from uuid import NAMESPACE_URL, uuid5
+from uuid import NAMESPACE_URL, uuid4, uuid5
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators.web import archive_segments
+from docloom.sources.blobs import open_folder
 
 
 def record(uri: str, content: bytes, media_type: str, headers: dict[str, str], at: datetime) -> bytes:
@@ -41,7 +40,6 @@ def write_archive(df: DataFrame, folder: str, order: str, uri: str = "url", cont
     stream into its segments. Files appear under their name when complete; a retried task writes them anew.
     """
     at = at or datetime.now(timezone.utc)
-    root = Path(folder.removeprefix("file://"))
     kinds = dict(df.dtypes)
     rows = df.where(F.col(content).isNotNull() & F.col(uri).isNotNull()).select(order, F.col(uri).alias("__uri"), F.col(content).cast("binary").alias("__content"))
     placed = archive_segments(rows.select(order, F.octet_length("__content").alias("__size")), "__size", order, writers, **limits)
@@ -49,23 +47,24 @@ def write_archive(df: DataFrame, folder: str, order: str, uri: str = "url", cont
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, name, part = None, None, None
-        root.mkdir(parents=True, exist_ok=True)
+        files, root = open_folder(folder.rstrip("/"))
+        files.create_dir(root, recursive=True)
 
         def close() -> None:
             if out is not None:
                 out.close()
-                os.replace(part, name)
+                files.move(part, name)
 
         for pdf in batches:
             paths = []
             for w, s, u, c in zip(pdf.writer, pdf.segment, pdf["__uri"], pdf["__content"]):
-                want = root / f"segment-{w:04d}-{s:06d}.warc.gz"
+                want = f"{root}/segment-{w:04d}-{s:06d}.warc.gz"
                 if want != name:
                     close()
-                    name, part = want, want.with_suffix(f".part{os.getpid()}")
-                    out = part.open("wb")
+                    name, part = want, f"{want}.part{uuid4().hex}"
+                    out = files.open_output_stream(part)
                 out.write(gzip.compress(record(u, bytes(c), media_type, {}, at), mtime=0))
-                paths.append(str(want))
+                paths.append(want)
             yield pd.DataFrame({order: pdf[order], "path": paths, "size": [len(c) for c in pdf["__content"]], "checksum": ["sha256:" + hashlib.sha256(bytes(c)).hexdigest() for c in pdf["__content"]]})
         close()
 
@@ -74,7 +73,9 @@ def write_archive(df: DataFrame, folder: str, order: str, uri: str = "url", cont
 
 def read_archive(path: str) -> list[tuple[dict[str, str], bytes]]:
     """Headers and content of every record of one segment."""
-    data, out, at = gzip.decompress(Path(path).read_bytes()), [], 0
+    files, name = open_folder(path)
+    with files.open_input_file(name) as f:
+        data, out, at = gzip.decompress(f.read()), [], 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         head = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])

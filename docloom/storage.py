@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,15 +36,35 @@ def shared_folder(spark: SparkSession) -> str:
     return _fallback
 
 
+STAGED = "docloom-staged"
+
+
+def sweep(spark: SparkSession, older_than: float) -> int:
+    """Removes staged tables that nothing has written to for so many seconds; how many.
+
+    Results read from them are lazy, so only the session's owner knows when they are done with.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{STAGED}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return 0
+    old = [s.getPath() for s in files.listStatus(path) if s.getModificationTime() < (time.time() - older_than) * 1000]
+    for p in old:
+        files.delete(p, True)
+    return len(old)
+
+
 class Staging:
     """Writes DataFrames as Parquet in the shared folder and reads them back, with no lineage left.
 
-    ``drop`` removes a table that no later plan reads, so iterative jobs hold two rounds at most.
+    ``drop`` removes a table that no later plan reads, so iterative jobs hold two rounds at most;
+    ``clear`` removes all, once the results read from them are done with. ``sweep`` does so for
+    whatever was left behind.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.base = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.base = f"{shared_folder(spark)}/{STAGED}/{label}-{uuid.uuid4().hex}"
         self.count = 0
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -54,6 +75,10 @@ class Staging:
         back._docloom_path = path
         return back
 
+    def clear(self) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *dfs: DataFrame | None) -> None:
         jvm = self.spark._jvm
         for df in dfs:

@@ -3,8 +3,8 @@ import pytest
 from docloom.plans.conditions import ConditionError, evaluate, where
 
 GOOD = [
-    ("1 < value <= 3", {"value": 2}, True), ("1 < value <= 3", {"value": 4}, False), ("a and b or c", {"a": True, "b": False, "c": True}, True), ("not a", {"a": False}, True), ("user.profile.tier == 'pro'", {"user": {"profile": {"tier": "pro"}}}, True),
-    ("exists(missing)", {}, False), ("exists(value)", {"value": None}, True), ("exists(user.name)", {"user": {}}, False), ("TRUE", {}, True), (" false ", {}, False), ("x != 1", {"x": 2}, True),
+    ("0 <= depth < 4", {"depth": 3}, True), ("0 <= depth < 4", {"depth": -1}, False), ("empty or lang == 'de' and pages >= 7", {"empty": False, "lang": "de", "pages": 9}, True), ("not (empty or late)", {"empty": False, "late": True}, False), ("site.owner.lang != 'es'", {"site": {"owner": {"lang": "en"}}}, True),
+    ("exists(nowhere)", {}, False), ("exists(title)", {"title": None}, True), ("exists(site.title)", {"site": {}}, False), ("TRUE", {}, True), (" false ", {}, False), ("words != 12", {"words": 13}, True), ("1 < pages == 5", {"pages": 5}, True),
 ]
 BAD = ["__import__('os')", "(lambda: 1)()", "[x for x in y]", "user.__class__", "a in b", "a not in b", "a +", "a[0]", "len(a)", "exists(a, b)", "unknown", "a + 1"]
 

@@ -107,3 +107,17 @@ def test_rate_limit_table(spark):
 def test_class_names(spark):
     df = spark.createDataFrame([(" CPU ",), ("a b",), (None,), ("",)], "c string")
     assert [r[0] for r in df.select(O.class_name(F.col("c"))).collect()] == ["cpu", None, None, None]
+
+
+def test_pause_and_resume(spark):
+    rows = [("a", "scheduled", None), ("b", "done", None), ("c", "paused", NOW), ("d", "paused", NOW + timedelta(1)), ("e", None, None), ("f", "paused", None)]
+    df = spark.createDataFrame(rows, "schedule_id string, state string, expires_at timestamp")
+    paused = {r.schedule_id: r.state for r in O.pause(df, F.col("schedule_id") != "z").collect()}
+    assert paused == {"a": "paused", "b": "done", "c": "paused", "d": "paused", "e": None, "f": "paused"}
+    back = {r.schedule_id: r.state for r in O.resume(df, F.col("schedule_id") != "f", F.lit(NOW)).collect()}
+    assert back == {"a": "scheduled", "b": "done", "c": "expired", "d": "scheduled", "e": None, "f": "paused"}
+
+
+def test_listing_orders(spark):
+    df = spark.createDataFrame([("p", 1), ("p", 3), ("a", 2)], "pipeline string, version int")
+    assert [tuple(r) for r in O.listing(df, "versions").collect()] == [("a", 2), ("p", 3), ("p", 1)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.sources import fetch, settings, tables, warc
 from docloom.sources.blobs import BlobStore, check_key
-from docloom.storage import Staging
+from docloom.storage import STAGED, Staging, shared_folder, sweep
 
 
 @pytest.mark.parametrize("key", ["", "/a", "a/../b", "a//b", "./a", "a/", "a\\b", ".."])
@@ -135,3 +135,26 @@ def test_staging_cuts_lineage(spark):
     s.drop(a)
     with pytest.raises(Exception):
         a.count()
+
+
+def test_staged_tables_are_cleared_and_swept(spark):
+    a, b = Staging(spark, "a"), Staging(spark, "b")
+    a.put(spark.range(3))
+    kept = b.put(spark.range(4))
+    a.clear()
+    assert sweep(spark, 3600) == 0 and kept.count() == 4
+    assert sweep(spark, -5) >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{b.base}/00001").count()
+    assert STAGED in b.base and b.base.startswith(shared_folder(spark))
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = type("C", (), {"get": staticmethod(lambda k, d=None: None)}), Context
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session)

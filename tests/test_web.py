@@ -33,6 +33,13 @@ def test_crawl_levels_order_and_budget(spark):
     assert W.Crawl(site.limit(0), h).run().count() == 1
 
 
+def test_crawl_counters(spark):
+    h = "https://example.org/"
+    site = pages(spark, {h: ["/p", "/q", "/r"], h + "p": [], h + "q": ["/s"]})
+    out = W.crawl_counters(W.Crawl(site, h, max_depth=2).run()).orderBy("depth").collect()
+    assert [(r.depth, r.visited, r.stored_pages, r.stored_urls) for r in out] == [(0, 1, 1, 1), (1, 3, 2, 2), (2, 1, 0, 0)]
+
+
 def test_blob_key(spark):
     r = spark.range(1).select(W.blob_key("crawl", "https://example.com:81/x", F.lit("https://example.com/"), F.lit("text/HTML")).alias("a"), W.blob_key("crawl", "nowhere", F.lit("u"), F.lit(None)).alias("b")).first()
     assert r.a == "crawl/example.com:81/0f115db062b7c0dd.html"
@@ -86,3 +93,12 @@ def test_ancestors(spark):
     edges = spark.createDataFrame([("d", "c"), ("c", "b"), ("b", "a"), ("d", "a"), ("x", None), ("y", "y")], "child string, parent string")
     assert {tuple(r) for r in W.ancestors(edges).collect()} == {("d", "c", 1), ("d", "b", 2), ("d", "a", 1), ("c", "b", 1), ("c", "a", 2), ("b", "a", 1)}
     assert W.ancestors(edges.limit(0)).count() == 0
+
+
+def test_monitor_of_a_hot_key_equals_the_plain_window(spark):
+    rows = [("hot" if i % 3 else f"k{i % 7}", i % 50, i, "abc"[(i * i) % 3]) for i in range(3000)] + [(None, i, 9000 + i, "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "url string, t int, n int, body string").repartition(8)
+    out = W.monitor(df, "url", "body", "t", "n")
+    plain = df.withColumn("d", F.sha2("body", 256)).selectExpr("n", "lag(d) over (partition by url order by t, n) as p")
+    assert {(r.n, r.previous_sha256) for r in out.collect()} == {tuple(r) for r in plain.collect()}
+    assert out.columns == ["url", "t", "n", "body_sha256", "previous_sha256", "changed"]
