@@ -191,13 +191,13 @@ class Neighbours:
     """k nearest records of the same group. ``records``: grp string, id string, vec array<float>.
 
     ``recall``: the share of the true neighbours that the visited cells are to hold. ``bound``: how
-    many standard errors of an estimate are allowed for, by default 4 with ``least`` and else 2.
+    many standard errors of an estimate are allowed for, by default 3 with ``least`` and else 2.
     ``probes`` overrides the number found when the root is fitted.
     """
 
     def __init__(self, records: DataFrame, dim: int, k: int = 10, least: float = -1.0, recall: float = 0.97, bound: float | None = None, probes: int | None = None, cell: int = CELL, fan: int = FAN, staging: Staging | None = None):
         self.dim, self.k, self.least, self.recall, self.cell, self.fan = dim, k, least, recall, cell, fan
-        self.bound = bound or (4.0 if least > -1 else 2.0)
+        self.bound = bound or (3.0 if least > -1 else 2.0)
         self.probes = probes
         self.spark = records.sparkSession
         self.staging = staging or Staging(self.spark, "neighbours")
