@@ -218,7 +218,25 @@ QUERIES = {
         lease_acquire, lease_listing, run_listing, dead_letter_listing, pipeline_versions, fetch_pages, run_outcomes, checkpoint_latest, metadata_latest, rate_limit, schedule_due, schedule_next_run, schedule_mark_run, schedule_dispatch,
     )
 }
+_PAGES = "p as (select page_id, arg_max({'u': url, 'h': html}, loaded_at) as r from scrape_requests where page_id is not null group by 1)"
+# a string as JSON text with everything outside printable ASCII escaped
+_ASCII = r"""'"' || array_to_string(list_transform(string_split(text, ''), lambda c: case when c = '"' then '\"' when c = '\' then '\\' when c = chr(10) then '\n' when c = chr(13) then '\r' when c = chr(9) then '\t'
+  when c = chr(8) then '\b' when c = chr(12) then '\f' when unicode(c) between 32 and 126 then c when unicode(c) < 65536 then '\u' || lpad(lower(to_base(unicode(c), 16)), 4, '0')
+  else '\u' || lower(to_base(55296 + ((unicode(c) - 65536) // 1024), 16)) || '\u' || lower(to_base(56320 + ((unicode(c) - 65536) % 1024), 16)) end), '') || '"'"""
+_BUCKETS = """with recursive e as (select user_id, event_id, epoch_us(ts) / 1e6 as t, row_number() over (partition by user_id order by ts, event_id) as r from events),
+s as (
+  select user_id, event_id, r, t, t as last, 1.0::double as tokens from e where r = 1
+  union all
+  select user_id, event_id, r, t, come + case when have < 1 then (1 - have) / 0.0005 else 0 end, case when have < 1 then 0 else have - 1 end
+  from (select e.user_id, e.event_id, e.r, e.t, greatest(e.t, s.last) as come, least(2.0, s.tokens + (greatest(e.t, s.last) - s.last) * 0.0005) as have from s join e on e.user_id = s.user_id and e.r = s.r + 1))
+select user_id, event_id, round(last - t, 3) as wait_seconds, last - t <= 0 as admitted from s"""
 SQL = {
+    "archive_headers": f"""with {_PAGES}, h as (select page_id, r.u as u, r.h as h from p where r.h is not null and r.u is not null)
+  select page_id, 'WARC-Payload-Digest' as name, 'sha256:' || sha256(h) as value from h union all select page_id, 'WARC-Refers-To', '<urn:uuid:' || sha256(u) || '>' from h
+  union all select page_id, 'WARC-X-Meta-seedurl', substr(regexp_replace(u, '[\\r\\n]', ' ', 'g'), 1, 4096) from h union all select page_id, 'WARC-X-Meta-payload-header-Content-Type', 'text/html' from h""",
+    "provenance_envelopes": f"""with f as (select doc_id, text, sha256('{{"metadata": {{"lang": ' || coalesce('"' || lang || '"', 'null') || '}}, "payload": {{"document_id": ' || doc_id || ', "text": ' || {_ASCII} || '}}, "resource_type": "document", "schema_version": "1.0"}}') as fp from documents where text is not null)
+  select doc_id as document_id, 'document' as resource_type, '1.0' as schema_version, fp as fingerprint, sha256(fp || '||' || doc_id || '|' || text) as resource_id from f""",
+    "rate_limit": _BUCKETS,
     "monitor_changes": """with d as (select event_id, user_id, sha256(event_type) as h, lag(sha256(event_type)) over (partition by user_id order by ts, event_id) as p from events)
       select event_id, user_id, h as body_sha256, p as previous_sha256, p is null or p <> h as changed from d""",
     "lineage_ancestors": """with v as (select distinct 'record/' || record_id as r, 'page/' || document_id as p, 'shelf/' || length(document_id) as s from vector_records where document_id is not null and record_id is not null)

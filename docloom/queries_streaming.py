@@ -60,6 +60,7 @@ def stream_event_counts(spark, sf):
 QUERIES = {f.__name__: f for f in (stream_monitor, stream_rate_limit, stream_metadata_latest, stream_event_counts)}
 SQL = {
     "stream_monitor": OPS_SQL["monitor_changes"],
+    "stream_rate_limit": OPS_SQL["rate_limit"],
     "stream_metadata_latest": OPS_SQL["metadata_latest"],
     "stream_event_counts": "select date_trunc('hour', ts)::timestamptz as hour, event_type, count(*) as n from events group by 1, 2",
 }
