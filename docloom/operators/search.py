@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +54,20 @@ def search(df: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return top.withColumn("snippet", snippet(F.coalesce(F.col("text"), F.lit("")), tokens))
 
 
+def search_boosted(df: DataFrame, query: str, boosts: Mapping[str, float], limit: int = 10) -> DataFrame:
+    """The best documents where each field (title, text, url and so on) counts its own weight for every query token in it.
+
+    The fields' scores are added up; a missing field or a null scores nothing; ties by document_id.
+    """
+    weights = Counter(query_tokens(query))
+    asked = F.array(*[F.lit(t) for t in weights]).cast("array<string>")
+    weight = F.create_map(*[x for t, n in weights.items() for x in (F.lit(t), F.lit(float(n)))]) if weights else F.create_map().cast("map<string,double>")
+    of = lambda c: F.array_intersect(words(F.lower(F.coalesce(F.col(c), F.lit("")))), asked)
+    parts = [F.aggregate(of(c), F.lit(0.0), lambda s, t: s + weight[t]) * F.lit(float(b)) for c, b in boosts.items() if c in df.columns]
+    hits = df.withColumn("score", sum(parts, F.lit(0.0))).where(F.col("score") > 0)
+    return hits.orderBy(F.desc("score"), "document_id").limit(limit)
+
+
 def postings(df: DataFrame) -> DataFrame:
     """The inverted index: distinct (token, document_id) of the current documents."""
     return df.select(F.explode(document_tokens(df)).alias("token"), "document_id").distinct()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.plans.conditions import ConditionError, evaluate
 from docloom.plans.execution import Executor, Run
-from docloom.plans.pipeline import Pipeline, Plan, Registry, Retry, Step, compile_plan
+from docloom.plans.pipeline import Pipeline, Plan, Registry, Retry, Step, compile_plan, content_hash, definition
 from docloom.storage import shared_folder, table
 
 
@@ -109,7 +111,42 @@ def pipeline_dead_letters(spark, sf):
     return raw.select("pipeline_id", F.array_join(F.map_keys("errors"), ",").alias("failed"), "retries")
 
 
-QUERIES = {f.__name__: f for f in (pipeline_steps, pipeline_events, pipeline_lineage, pipeline_result, pipeline_replayed, pipeline_dead_letters)}
+def provider_choice(spark, sf):
+    """Which operator serves each capability: the highest priority, then version, then name."""
+    r = Registry()
+    offers = (("sum-a", "sum", 1, "1.0"), ("sum-b", "sum", 5, "1.2"), ("sum-c", "sum", 5, "1.10"), ("join-x", "join", 0, "2.0"), ("join-y", "join", 0, "2.0"))
+    for name, capability, priority, version in offers:
+        r.register(name, len, capability, priority, version)
+    return spark.createDataFrame([(c, r.resolve(c)) for c in ("sum", "join", "sum-a")], "capability string, provider string")
+
+
+_CONDITIONS = ("pages > 3 and lang == 'de'", "pages > 3 or unknown", "exists(unknown)", "not (lang == 'en' or pages < 5)", "1 < pages < 9", "lang in names", "pages + 1 > 2", "len(lang) > 1", "lang.__class__")
+
+
+def condition_values(spark, sf):
+    """What conditions give over the same values; a refused one gives null. Both sides of and/or are always read."""
+    rows = []
+    for c in _CONDITIONS:
+        try:
+            rows.append((c, evaluate(c, {"pages": 5, "lang": "de", "names": ["de"]})))
+        except ConditionError:
+            rows.append((c, None))
+    return spark.createDataFrame(rows, "condition string, value boolean")
+
+
+def plan_capabilities(spark, sf):
+    """What the policy pipeline asks of the registry, each once."""
+    plan = compile_plan(Pipeline("policies", _STEPS, ("documents", "wanted")), _registry())
+    return spark.createDataFrame([(c,) for c in plan.capabilities], "capability string")
+
+
+def plan_definition(spark, sf):
+    """A pipeline's definition as text, and the digest that names this version of it."""
+    p = Pipeline("tiny", (Step("count", "per_language", {"documents": "$pipeline.documents"}),), ("documents",), "7")
+    return spark.createDataFrame([(p.pipeline_id, p.version, content_hash(p), len(json.loads(definition(p))["steps"]))], "pipeline_id string, version string, content_hash string, steps int")
+
+
+QUERIES = {f.__name__: f for f in (pipeline_steps, pipeline_events, pipeline_lineage, pipeline_result, pipeline_replayed, pipeline_dead_letters, provider_choice, condition_values, plan_capabilities, plan_definition)}
 SQL = {
     "pipeline_steps": """select * from (values ('load', 'succeeded', 0, false), ('a_retried', 'succeeded', 2, false), ('b_replaced', 'succeeded', 0, false),
   ('c_doomed', 'failed', 0, true), ('d_after_doomed', 'skipped', 0, false), ('e_gated', 'skipped', 0, false), ('f_total', 'succeeded', 0, false)) t(step_id, state, retries, has_error)""",
@@ -120,4 +157,38 @@ SQL = {
     "pipeline_result": "select count(*) as n from documents where text is not null",
     "pipeline_replayed": "select lang, count(*) as n from documents group by lang",
     "pipeline_dead_letters": "select 'fragile' as pipeline_id, 'fragile' as failed, 0::int as retries",
+    "provider_choice": "select * from (values ('sum', 'sum-c'), ('join', 'join-y'), ('sum-a', 'sum-a')) t(capability, provider)",
+    "condition_values": """select condition, value::boolean as value from (values ('pages > 3 and lang == ''de''', true), ('pages > 3 or unknown', null), ('exists(unknown)', false), ('not (lang == ''en'' or pages < 5)', true),
+  ('1 < pages < 9', true), ('lang in names', null), ('pages + 1 > 2', null), ('len(lang) > 1', null), ('lang.__class__', null)) t(condition, value)""",
+    "plan_capabilities": "select * from (values ('broken'), ('flaky'), ('per_language'), ('total'), ('with_text')) t(capability)",
+    "plan_definition": """select 'tiny' as pipeline_id, '7' as version, 1::int as steps, sha256('{
+  "inputs": [
+    "documents"
+  ],
+  "pipeline_id": "tiny",
+  "steps": [
+    {
+      "checkpoint": false,
+      "compensation": [],
+      "condition": null,
+      "depends_on": [],
+      "fallbacks": [],
+      "inputs": {
+        "documents": "$pipeline.documents"
+      },
+      "on_error": "abort",
+      "operator": "per_language",
+      "params": {},
+      "retry": {
+        "backoff": 0.0,
+        "max_attempts": 1,
+        "max_delay": 60.0,
+        "multiplier": 2.0
+      },
+      "step_id": "count",
+      "timeout": null
+    }
+  ],
+  "version": "7"
+}') as content_hash""",
 }

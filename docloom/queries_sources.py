@@ -68,6 +68,12 @@ def job_listing(spark, sf):
     return O.listing(jobs.withColumn("created_at", F.col("submitted_at")), "jobs", 50).select("created_at", "kind", "job_id")
 
 
+def search_boosted(spark, sf):
+    """The 10 best documents where a word in the title counts twice."""
+    docs = table(spark, sf, "documents").withColumnRenamed("doc_id", "document_id")
+    return S.search_boosted(docs, Q.QUERY, {"title": 2.0, "text": 1.0, "url": 1.0}).select("document_id", "score")
+
+
 def run_relations(spark, sf):
     """Every job with its run and its lease, where it has them."""
     jobs = O.last_by(table(spark, sf, "worker_jobs").select(uuid_hex(F.col("job_id")).alias("job"), uuid_hex(F.col("run_id")).alias("run"), "kind", "loaded_at"), ["job"], ["loaded_at"])
@@ -167,7 +173,7 @@ def stream_vector_upsert(spark, sf):
 
 
 _NAMES = (
-    blob_keys, blob_round_trip, artifact_latest, metadata_scan, job_listing, run_relations, schedule_pause, schedule_resume, compliance_default, dedup_retained, plan_levels, vector_chunks, crawl_counters,
+    blob_keys, blob_round_trip, artifact_latest, metadata_scan, job_listing, search_boosted, run_relations, schedule_pause, schedule_resume, compliance_default, dedup_retained, plan_levels, vector_chunks, crawl_counters,
     archive_bounds, rate_limit_bounds, stream_index_add, stream_repeats, stream_vector_upsert,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -182,6 +188,10 @@ SQL = {
     "metadata_scan": """select * from (values ('n', 'a', '{"id": {"__type__": "uuid", "value": "00000000-0000-0000-0000-000000000007"}}'), ('n', 'b', '{"x": [2, null]}'), ('n', 'c', '{"s": ["p", "q"]}')) t(namespace, key, payload)""",
     "job_listing": f"""with j as (select {_HEX.format('job_id')} as k, arg_max({{'at': submitted_at, 'what': kind}}, loaded_at) as r from worker_jobs group by 1)
   select j.r.at as created_at, j.r.what as kind, {_UUID.format('j.k')} as job_id from j order by created_at nulls first, kind nulls first, job_id limit 50""",
+    "search_boosted": f"""with c as (select t, count(*)::double as n from (select unnest({Q._TOK.format("lower('" + Q.QUERY + "')")}) as t) group by 1),
+  f as (select distinct doc_id, 2.0 as b, 't' as f, unnest({Q._TOK.format("lower(coalesce(title, ''))")}) as t from documents union all select distinct doc_id, 1.0, 'x', unnest({Q._TOK.format("lower(coalesce(text, ''))")}) from documents
+    union all select distinct doc_id, 1.0, 'u', unnest({Q._TOK.format("lower(coalesce(url, ''))")}) from documents)
+  select doc_id as document_id, sum(b * n)::double as score from f join c on f.t = c.t group by 1 order by score desc, document_id limit 10""",
     "run_relations": f"""with j as (select {_HEX.format('job_id')} as job, arg_max({{'r': {P._KEY.format('run_id')}, 'k': kind}}, loaded_at) as j from worker_jobs group by 1),
   r as (select {_HEX.format('run_id')} as run, arg_max({{'p': pipeline_name}}, loaded_at) as r from control_runs group by 1),
   l as (select {_HEX.format('job_id')} as job, max(expires_at) as expires_at from worker_leases group by 1)
