@@ -1,7 +1,10 @@
+import sys
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 
+import __spark_entry__ as entry
 from docloom.operators import ops, web
 from docloom.sources.tables import KeyedTable
 from docloom.streaming import state
@@ -67,3 +70,38 @@ def test_repeats_are_dropped(spark, files):
     path, where = files
     out = run(spark, state.drop_repeats(stream(spark, path).where("user is not null"), ["user"], "at", "30 days").select("user"), "once", where)
     assert sorted(r.user for r in out.collect()) == [1, 2, 3]
+
+
+@pytest.fixture(scope="module")
+def folders(tmp_path_factory):
+    """Tables of several files each, in folders, as larger tables come."""
+    import duckdb
+
+    base = tmp_path_factory.mktemp("folders")
+    at = "timestamp '2025-01-01' + interval (i) minute"
+    tables = {
+        "documents": "select i as doc_id, 'red blue w' || (i % 7) as text, 'title ' || i as title, cast(null as varchar) as url from range(60) r(i)",
+        "subject_areas": "select * from (values ('a', 'red w1'), ('b', 'blue title')) t(subject, scope)",
+        "vector_records": f"select 'n' || (i % 2) as namespace, 'r' || (i % 20) as record_id, 'd' || i as document_id, [i::double, 1.0] as vector, map {{'k': 'v'}} as metadata, {at} as loaded_at from range(60) r(i)",
+    }
+    for name, query in tables.items():
+        (base / f"{name}.parquet").mkdir()
+        for part in range(3):
+            duckdb.execute(f"copy (select * from ({query}) q qualify row_number() over () % 3 = {part}) to '{base}/{name}.parquet/part-{part}.parquet' (format parquet)")
+    return str(base)
+
+
+def equals_sql(spark, name, base):
+    sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
+    import compare
+    import pandas as pd
+
+    df = entry.queries()[name](spark, base)
+    got = pd.DataFrame.from_records([r.asDict() for r in df.collect()], columns=df.columns)
+    con = compare.views(base).execute(entry.oracle_sql()[name])
+    want = pd.DataFrame.from_records(con.fetchall(), columns=[d[0] for d in con.description])
+    assert len(got) and compare.canon(got) == compare.canon(want)
+
+
+def test_index_add_from_a_folder_of_files(spark, folders):
+    equals_sql(spark, "stream_index_add", folders)
