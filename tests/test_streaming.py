@@ -105,3 +105,7 @@ def equals_sql(spark, name, base):
 
 def test_index_add_from_a_folder_of_files(spark, folders):
     equals_sql(spark, "stream_index_add", folders)
+
+
+def test_vector_upsert_from_a_folder_of_files(spark, folders):
+    equals_sql(spark, "stream_vector_upsert", folders)
