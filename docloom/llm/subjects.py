@@ -2,10 +2,10 @@
 
 Nodes are paragraphs (a line of text; list lines join in threes) and landmarks, paragraphs drawn in
 hash order as a bounded sample (``LANDMARKS``): they are the index of the graph, and every paragraph
-of every document is linked to it. A paragraph's candidates are its nearest landmarks by randomly
-projected weighted word vectors; an edge is kept only where the exact cosine of the full vectors
-reaches ``least`` (that is the verification). Word weights come from document frequencies counted
-over all paragraphs; words in less than ``RARE`` or more than ``COMMON`` of them carry none.
+of every document is linked to its ``LINKS`` nearest ones, told by the exact cosine of the weighted
+word vectors with every landmark (equal ones by the landmarks' order); an edge is kept only where
+that cosine reaches ``least``. Word weights come from document frequencies counted over all
+paragraphs; words in less than ``RARE`` or more than ``COMMON`` of them carry none.
 
 Labels go from seed documents to their paragraphs, over the edges to the landmarks and back, round
 by round, as DataFrame joins, until no landmark's share of a subject moves by ``settled``. Seeds are
@@ -28,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cached_property
 from heapq import nsmallest
 
 import numpy as np
@@ -42,11 +43,9 @@ LANDMARKS = 1024
 #: COMMON: a word that all of a subject's paragraphs hold still counts where the subject holds a third of all.
 RARE, COMMON = 0.0008, 0.4
 MIN_WORDS = 3
-DIM = 96
 LINKS = 3
-CANDIDATES = 24
 LONG = 360
-#: The landmarks' dense table, which every Python worker holds, has at most this size.
+#: A dense table of landmarks, one of which every Python worker holds, has at most this size; more landmarks come in turns.
 MAX_INDEX_BYTES = 256 << 20
 _SENTENCE = re.compile(r"(?<=[.!?]) ")
 
@@ -125,20 +124,30 @@ def _survey(sample: int):
 
 
 class Index:
-    """Vocabulary with weights, projections and landmarks: bounded by parameters, shared with the executors."""
+    """Vocabulary with weights, and landmarks: bounded by parameters, shared with the executors."""
 
     def __init__(self, weights: dict[str, float], landmarks: list[list[str]]):
         self.ids = {w: i for i, w in enumerate(sorted(weights))}
         self.weight = np.array([weights[w] for w in sorted(weights)], np.float32)
-        self.turn = (np.random.default_rng(5).standard_normal((max(1, len(self.ids)), DIM)) / np.sqrt(DIM)).astype(np.float32)
         row, word, value = self.vectors(landmarks)
         keep = np.bincount(row, minlength=len(landmarks)) >= MIN_WORDS + 1
         place = np.cumsum(keep) - 1
         ok = keep[row] if len(row) else np.zeros(0, bool)
         self.size = int(keep.sum())
-        self.dense = np.zeros((max(1, len(self.ids)), max(1, self.size)), np.float32)
-        self.dense[word[ok], place[row[ok]]] = value[ok]
-        self.projected = self.turn.T @ self.dense
+        self.marks = place[row[ok]], word[ok], value[ok]
+        self.turn = max(1, min(self.size, MAX_INDEX_BYTES // (4 * max(1, len(self.ids)))))
+
+    def table(self, a: int, z: int) -> np.ndarray:
+        """Landmarks ``a`` to ``z`` as columns over the vocabulary."""
+        out = np.zeros((max(1, len(self.ids)), max(1, z - a)), np.float32)
+        place, word, value = self.marks
+        s, e = np.searchsorted(place, (a, z))
+        out[word[s:e], place[s:e] - a] = value[s:e]
+        return out
+
+    @cached_property
+    def dense(self) -> np.ndarray:
+        return self.table(0, self.size)
 
     def vectors(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sparse unit vectors (row, word, value) of paragraphs."""
@@ -164,34 +173,33 @@ class Index:
         if not len(row) or not self.size:
             return none
         rows, start, nnz = np.unique(row, return_index=True, return_counts=True)
-        out = []
-        space = np.empty((0, DIM), np.float32)
-        for a in range(0, len(rows), 256):  # blocks that stay in the cache, in one buffer
-            z = min(a + 256, len(rows))
-            s, e = start[a], start[z - 1] + nnz[z - 1]
-            if e - s > len(space):
-                space = np.empty((2 * (e - s), DIM), np.float32)
-            turned = np.take(self.turn, word[s:e], axis=0, out=space[: e - s], mode="clip")
-            turned *= value[s:e, None]
-            part = np.add.reduceat(turned, start[a:z] - s, axis=0)
-            near = part @ self.projected
-            local = np.repeat(np.arange(z - a), nnz[a:z])
-            some = min(CANDIDATES, self.size)
-            marks = np.argpartition(-near, some - 1, axis=1)[:, :some] if some < self.size else np.tile(np.arange(some), (z - a, 1))
-            cosines = np.empty((z - a, some), np.float32)
-            base, flat, own = word[s:e] * self.dense.shape[1], self.dense.reshape(-1), value[s:e]
-            for c in range(some):
-                cosines[:, c] = np.add.reduceat(flat.take(base + marks[local, c]) * own, start[a:z] - s)
-            cosines[nnz[a:z] < MIN_WORDS] = 0
-            order = np.argsort(-cosines, axis=1, kind="stable")[:, :LINKS]
-            marks, cosines = np.take_along_axis(marks, order, 1), np.take_along_axis(cosines, order, 1)
-            if some < LINKS:
-                marks, cosines = (np.pad(x, ((0, 0), (0, LINKS - some)), constant_values=v) for x, v in ((marks, -1), (cosines, 0)))
-            marks[cosines < least] = -1
-            cosines[cosines < least] = 0
-            has = marks[:, 0] >= 0
-            out.append((rows[a:z][has], marks[has], cosines[has]))
-        return tuple(np.concatenate(x) for x in zip(*out))
+        marks, cosines = np.full((len(rows), LINKS), -1), np.zeros((len(rows), LINKS), np.float32)
+        taken = np.empty((0, 0), np.float32)
+        for t in range(0, self.size, self.turn):
+            dense = self.dense if self.turn == self.size else self.table(t, min(t + self.turn, self.size))
+            if taken.shape[1] != dense.shape[1]:
+                taken = np.empty((int(nnz.max()), dense.shape[1]), np.float32)
+            near = np.empty((256, dense.shape[1]), np.float32)
+            for a in range(0, len(rows), 256):  # blocks that stay in the cache, in one buffer
+                z = min(a + 256, len(rows))
+                for i in range(a, z):
+                    s, n = start[i], nnz[i]
+                    np.dot(value[s : s + n], np.take(dense, word[s : s + n], axis=0, out=taken[:n], mode="clip"), out=near[i - a])
+                part, each = near[: z - a], np.arange(z - a)
+                best, at = [cosines[a:z]], [marks[a:z]]
+                for _ in range(min(LINKS, dense.shape[1])):
+                    top = part.argmax(axis=1)
+                    best.append(part[each, top][:, None])
+                    at.append(top[:, None] + t)
+                    part[each, top] = -1
+                best, at = np.hstack(best), np.hstack(at)
+                order = np.argsort(-best, axis=1, kind="stable")[:, :LINKS]
+                cosines[a:z], marks[a:z] = np.take_along_axis(best, order, 1), np.take_along_axis(at, order, 1)
+        off = (cosines < least) | (nnz < MIN_WORDS)[:, None]
+        marks[off] = -1
+        cosines[off] = 0
+        has = marks[:, 0] >= 0
+        return rows[has], marks[has], cosines[has]
 
 
 def build_index(texts: DataFrame, landmarks: int = LANDMARKS) -> Index:
@@ -201,9 +209,7 @@ def build_index(texts: DataFrame, landmarks: int = LANDMARKS) -> Index:
     low, high = max(2.0, RARE * total), COMMON * total
     # every word kept is in at least RARE of the paragraphs: at most words per paragraph / RARE of them
     words = found.where("what = 'w'").groupBy("text").agg(F.sum("n").alias("n")).where((F.col("n") >= low) & (F.col("n") <= high)).collect()
-    # so the table of weights and landmarks is bounded too; should the words be very many, by fewer landmarks
-    room = min(landmarks, MAX_INDEX_BYTES // (4 * max(1, len(words))))
-    marks = found.where("what = 'p'").select("n", "text").distinct().orderBy("n", "text").limit(room).collect()
+    marks = found.where("what = 'p'").select("n", "text").distinct().orderBy("n", "text").limit(landmarks).collect()
     return Index({r["text"]: float(np.log(total / r["n"])) for r in words}, [r["text"].split(" ") for r in marks])
 
 

@@ -99,3 +99,38 @@ def test_fewer_landmarks_than_links():
     index = S.Index({"a": 1.0, "b": 1.0, "c": 1.0, "d": 1.0}, [["a", "b", "c", "d"]])
     rows, marks, cosines = index.links([["a", "b", "c", "d"], ["x"]], 0.25)
     assert rows.tolist() == [0] and marks[0].tolist() == [0, -1, -1] and abs(cosines[0][0] - 1) < 1e-5
+
+
+def texts_with_many_words():
+    rng = np.random.default_rng(8)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    return [[words[i] for i in np.minimum(rng.zipf(1.3, 25) + rng.integers(0, 400), 599)] for _ in range(1500)], words, rng
+
+
+def test_links_are_the_nearest_of_all_landmarks():
+    """Every link and cosine as told from all landmarks, none left out."""
+    texts, words, rng = texts_with_many_words()
+    index = S.Index({w: float(rng.uniform(1, 6)) for w in words}, texts[:700])
+    rows, marks, cosines = index.links(texts[700:], 0.25)
+    got = dict(zip(rows.tolist(), cosines))
+    row, word, value = index.vectors(texts[700:])
+    for r in range(800):
+        mine = row == r
+        exact = np.sort((index.dense[word[mine]] * value[mine, None]).sum(axis=0))[::-1][: S.LINKS]
+        exact[(exact < 0.25) | (mine.sum() < S.MIN_WORDS)] = 0
+        np.testing.assert_allclose(got.get(r, np.zeros(S.LINKS)), exact, atol=1e-5)
+
+
+def test_many_words_cost_no_landmarks(spark, monkeypatch):
+    """A table of all landmarks beyond the size allowed is taken in turns, with the same links."""
+    texts, _, _ = texts_with_many_words()
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "key long, text string")
+    whole = S.build_index(docs)
+    monkeypatch.setattr(S, "MAX_INDEX_BYTES", 4 * len(whole.ids) * 100)
+    turns = S.build_index(docs)
+    assert turns.size == whole.size > 900 and turns.turn == 100
+    rows, marks, cosines = whole.links(texts, 0.25)
+    rows2, marks2, cosines2 = turns.links(texts, 0.25)
+    assert rows.tolist() == rows2.tolist()
+    np.testing.assert_allclose(cosines, cosines2, atol=1e-5)
+    assert (marks == marks2).mean() > 0.999  # all but ties in the last digit
