@@ -1,7 +1,8 @@
 """Subject areas of documents, by label propagation over a verified similarity graph.
 
 Nodes are paragraphs (a line of text; list lines join in threes) and landmarks, paragraphs drawn in
-hash order as a bounded sample (``LANDMARKS``): they are the index of the graph, and every paragraph
+hash order: a sample (``LANDMARKS``), and further ones until every paragraph that could be a landmark
+has one within ``least``. They are the index of the graph, and every paragraph
 of every document is linked to its ``LINKS`` nearest ones, told by the exact cosine of the weighted
 word vectors with every landmark (equal ones by the landmarks' order); an edge is kept only where
 that cosine reaches ``least``. Word weights come from document frequencies counted over all
@@ -124,9 +125,10 @@ def _survey(sample: int):
 
 
 class Index:
-    """Vocabulary with weights, and landmarks: bounded by parameters, shared with the executors."""
+    """Vocabulary with weights, and landmarks, shared with the executors."""
 
     def __init__(self, weights: dict[str, float], landmarks: list[list[str]]):
+        self.weights, self.landmarks = weights, landmarks
         self.ids = {w: i for i, w in enumerate(sorted(weights))}
         self.weight = np.array([weights[w] for w in sorted(weights)], np.float32)
         row, word, value = self.vectors(landmarks)
@@ -168,10 +170,15 @@ class Index:
 
     def links(self, texts: list[list[str]], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows that have links, their LINKS landmarks (-1 for none) and exact cosines."""
+        rows, marks, cosines, _ = self.nearest(texts, least)
+        has = marks[:, 0] >= 0
+        return rows[has], marks[has], cosines[has]
+
+    def nearest(self, texts: list[list[str]], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows with weighted words, their LINKS landmarks (-1 for none), cosines and numbers of such words."""
         row, word, value = self.vectors(texts)
-        none = np.zeros(0, np.int64), np.zeros((0, LINKS), np.int64), np.zeros((0, LINKS), np.float32)
-        if not len(row) or not self.size:
-            return none
+        if not len(row):
+            return np.zeros(0, np.int64), np.zeros((0, LINKS), np.int64), np.zeros((0, LINKS), np.float32), np.zeros(0, np.int64)
         rows, start, nnz = np.unique(row, return_index=True, return_counts=True)
         marks, cosines = np.full((len(rows), LINKS), -1), np.zeros((len(rows), LINKS), np.float32)
         taken = np.empty((0, 0), np.float32)
@@ -198,8 +205,18 @@ class Index:
         off = (cosines < least) | (nnz < MIN_WORDS)[:, None]
         marks[off] = -1
         cosines[off] = 0
-        has = marks[:, 0] >= 0
-        return rows[has], marks[has], cosines[has]
+        return rows, marks, cosines, nnz
+
+    def apart(self, texts: list[list[str]], least: float) -> list[list[str]]:
+        """Those of ``texts`` that can be landmarks, without any that is near an earlier one that stays."""
+        able = [t for t, n in zip(texts, np.bincount(self.vectors(texts)[0], minlength=len(texts))) if n > MIN_WORDS]
+        dense = Index(self.weights, able).dense[:, : len(able)]
+        near = dense.T @ dense >= least
+        stay: list[int] = []
+        for i in range(len(able)):
+            if not near[i, stay].any():
+                stay.append(i)
+        return [able[i] for i in stay]
 
 
 def build_index(texts: DataFrame, landmarks: int = LANDMARKS) -> Index:
@@ -214,7 +231,10 @@ def build_index(texts: DataFrame, landmarks: int = LANDMARKS) -> Index:
 
 
 def similarity_links(docs: DataFrame, index: Index, least: float) -> DataFrame:
-    """One row per linked paragraph: key, para, its landmarks m0.. and cosines w0.. (null for none)."""
+    """One row per linked paragraph: key, para, its landmarks m0.. and cosines w0.. (null for none).
+
+    Paragraphs that no landmark is near, though they could be landmarks, come with their words as ``rest``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,14 +248,50 @@ def similarity_links(docs: DataFrame, index: Index, least: float) -> DataFrame:
                     keys += [key] * len(ps)
                     paras += range(len(ps))
                     texts += ps
-                rows, marks, cosines = own.links(texts, least)
+                rows, marks, cosines, words = own.nearest(texts, least)
+                out = (marks[:, 0] >= 0) | (words > MIN_WORDS)
+                rows, marks, cosines = rows[out], marks[out], cosines[out]
                 cols = [pa.array(np.array(keys, np.int64)[rows]), pa.array(np.array(paras, np.int32)[rows])]
                 for i in range(LINKS):
                     off = marks[:, i] < 0
                     cols += [pa.array(marks[:, i].astype(np.int32), mask=off), pa.array(cosines[:, i].astype(np.float32), mask=off)]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "para", *[f"{c}{i}" for i in range(LINKS) for c in "mw"]])
+                cols.append(pa.array([" ".join(texts[r]) if m < 0 else None for r, m in zip(rows.tolist(), marks[:, 0].tolist())], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, ["key", "para", *[f"{c}{i}" for i in range(LINKS) for c in "mw"], "rest"])
+
+    return docs.mapInArrow(run, "key long, para int, " + ", ".join(f"m{i} int, w{i} float" for i in range(LINKS)) + ", rest string")
 
-    return docs.mapInArrow(run, "key long, para int, " + ", ".join(f"m{i} int, w{i} float" for i in range(LINKS)))
+
+def _not_near(texts: DataFrame, index: Index, least: float) -> DataFrame:
+    """The rows of ``texts`` (rest: words) that no landmark is near."""
+    shared = texts.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                linked = shared.value.links([t.split(" ") for t in part.column(0).to_pylist()], least)[0]
+                out = np.ones(part.num_rows, bool)
+                out[linked] = False
+                yield part.filter(pa.array(out))
+
+    return texts.mapInArrow(run, "rest string")
+
+
+def all_linked(texts: DataFrame, index: Index, least: float, staging: Staging) -> DataFrame:
+    """``similarity_links``, written, with landmarks added until no paragraph that could be one is without."""
+    links = staging.put(similarity_links(texts, index, least))
+    rest = staging.put(links.where("rest is not null").select("rest").distinct())
+    more: list[list[str]] = []
+    while drawn := [r["rest"].split(" ") for r in rest.orderBy(F.xxhash64("rest"), "rest").limit(LANDMARKS).collect()]:
+        fresh = index.apart(drawn, least)
+        more += fresh
+        left = staging.put(_not_near(rest, Index(index.weights, fresh), least))
+        staging.drop(rest)
+        rest = left
+    if more:
+        staging.drop(links)
+        links = staging.put(similarity_links(texts, Index(index.weights, index.landmarks + more), least))
+    return links.where("rest is null").drop("rest")
 
 
 @contextmanager
@@ -263,7 +319,7 @@ def subjects_of(docs: DataFrame, areas: DataFrame, labels: DataFrame, rounds: in
         raise ValueError("more than 1000 subjects")
     texts = docs.where("key is not null and text is not null").select("key", "text")
     index = build_index(texts)
-    links = staging.put(similarity_links(texts, index, least))
+    links = all_linked(texts, index, least, staging)
     cols = [f"s{i}" for i in range(len(names))]
     wanted = labels.where("key is not null").select("key", F.lower(F.trim("subject")).alias("subject")).distinct()
     marked = wanted.groupBy("key").agg(*[F.max(F.when(F.col("subject") == n.lower(), 1.0).otherwise(0.0)).alias(f"l_{c}") for n, c in zip(names, cols)])
@@ -281,7 +337,7 @@ def _spread(staging: Staging, seeded: DataFrame, names: list[str], rounds: int,
     is_seed = F.col("l_s0").isNotNull()
 
     def to_landmarks(p: DataFrame, weight) -> DataFrame:
-        """Sums of weight * p over the edges, per landmark, normalised; at most LANDMARKS rows."""
+        """Sums of weight * p over the edges, per landmark, normalised."""
         edges = p.select(*cols, weight.alias("__v"), F.explode(F.array(*[F.struct(F.col(f"m{i}").alias("m"), F.col(f"w{i}").alias("w")) for i in range(LINKS)])).alias("e")).where("e.m is not null")
         sums = edges.groupBy(F.col("e.m").alias("m")).agg(*[F.sum(F.col(c) * F.col("e.w") * F.col("__v")).alias(c) for c in cols])
         all_of = total([F.col(c) for c in cols])
@@ -308,7 +364,7 @@ def _spread(staging: Staging, seeded: DataFrame, names: list[str], rounds: int,
         p = p.select(*seeded.columns, *[f"r_{c}" for c in cols], *[held[c].alias(f"h_{c}") for c in cols])
         held_sum = total([F.col(f"h_{c}") for c in cols])
         p = p.select(*seeded.columns, *[F.when(held_sum > 0, F.col(f"h_{c}") / held_sum).otherwise(F.lit(0.0)).alias(c) for c in cols], *[(F.col(f"r_{c}") / F.greatest(total([F.col(f"r_{k}") for k in cols]), F.lit(1e-12))).alias(f"f_{c}") for c in cols])
-        fresh = to_landmarks(p, F.when(is_seed, F.lit(1.0)).otherwise(F.lit(self_weight))).collect()  # LANDMARKS rows at most
+        fresh = to_landmarks(p, F.when(is_seed, F.lit(1.0)).otherwise(F.lit(self_weight))).collect()  # a row a landmark
         moved = _change(marks, fresh)
         marks = fresh
         if moved < settled:

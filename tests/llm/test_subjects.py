@@ -134,3 +134,15 @@ def test_many_words_cost_no_landmarks(spark, monkeypatch):
     assert rows.tolist() == rows2.tolist()
     np.testing.assert_allclose(cosines, cosines2, atol=1e-5)
     assert (marks == marks2).mean() > 0.999  # all but ties in the last digit
+
+
+def test_paragraphs_that_no_drawn_landmark_is_near_get_their_subject(spark, monkeypatch):
+    """A small subject that the sample of landmarks misses has landmarks of its own."""
+    rnd = random.Random(2)
+    of = {i: "food" if i >= 180 else ("law", "sport", "arts")[i % 3] for i in range(186)}
+    docs = [(i, " ".join(w for w in paragraph(rnd, s).split() if w.lower().strip(".") not in FILLER)) for i, s in of.items()]
+    build = S.build_index
+    monkeypatch.setattr(S, "build_index", lambda texts: build(texts, landmarks=6))
+    index = S.build_index(spark.createDataFrame(docs, "key long, text string"))
+    assert not any(w.startswith("food") for t in index.landmarks for w in t)
+    assert run(spark, docs, [(i, of[i]) for i in (*range(12), 180, 181)]) == set(of.items())
