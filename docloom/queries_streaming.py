@@ -14,12 +14,12 @@ from docloom.streaming import state
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table, one file or a folder of files, as a stream."""
+    """A table, one file or a folder of files, as a stream; the tables beside it are not looked at."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
     reader = spark.readStream.schema(spark.read.parquet(f"{sf}/{name}.parquet").schema)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
         return reader.parquet(f"{sf}/{name}.parquet")
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)  # a stream's own path has to be a folder
+    return reader.parquet(f"{sf}/{{{name}.parquet}}")  # a stream's own path has to be a folder or a pattern
 
 
 def _all(stream: DataFrame, label: str) -> DataFrame:

@@ -109,3 +109,11 @@ def test_index_add_from_a_folder_of_files(spark, folders):
 
 def test_vector_upsert_from_a_folder_of_files(spark, folders):
     equals_sql(spark, "stream_vector_upsert", folders)
+
+
+def test_vector_upsert_from_one_file_beside_tables_in_partitions(spark, folders, tmp_path):
+    spark.read.parquet(f"{folders}/vector_records.parquet").coalesce(1).write.parquet(f"{tmp_path}/written")
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "vector_records.parquet")
+    spark.range(4).selectExpr("id", "id % 2 as half").write.partitionBy("half").parquet(f"{tmp_path}/by_half")
+    spark.range(4).selectExpr("id", "id % 3 as third").write.partitionBy("third").parquet(f"{tmp_path}/by_third")
+    equals_sql(spark, "stream_vector_upsert", str(tmp_path))
